@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import decontaminate
+from quern.llm import decontaminate, licenses, pack, shard
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": licenses.op1_licenses,
+        "op2_pack": pack.op2_pack,
+        "op3_shard": shard.op3_shard,
         "op10_decontaminate": decontaminate.op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_shard": shard.OP3_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
     }
