@@ -58,13 +58,13 @@ def arrow_type(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_slices(df: DataFrame, text: str, schema: T.StructType, each: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
+def map_slices(df: DataFrame, text: str, schema: T.StructType, each: Callable[[pa.RecordBatch], dict | None], limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded bytes; ``each`` turns one slice into columns of ``schema``."""
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = arrow_type(schema)
-        for part in slices(batches, text):
+        for part in slices(batches, text, limit):
             if out := each(part):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, types.field(n).type) for n, x in ((n, out[n]) for n in names)], schema=types)
 

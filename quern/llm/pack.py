@@ -17,6 +17,8 @@ table gives no rows; columns other than the two named are not read, so their nam
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm._common import arrow_type, crc32_le, map_slices, materialise, read
+from quern.llm._common import arrow_type, binaries, crc32_le, map_slices, materialise, read
+from quern.llm._words import LOWER
 
 LENGTH = 2048
 END = 0
@@ -38,60 +41,92 @@ CACHED_WORDS = 1 << 20
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins words across white space.
 
-    Words repeat, so each distinct one is encoded once, by the tokenizer itself. Texts that hold a
-    special token or control characters on which ``str.split`` and the tokenizer differ are encoded
-    whole.
+    Words repeat, so each distinct one is encoded once. A word of lower-case Latin-1 letters, with or
+    without ASCII punctuation behind them, is one or two pre-tokens that the normaliser leaves as they
+    are, so the tokenizer's model takes them directly; any other word goes through the whole tokenizer.
+    Texts that hold a special token, or characters on which ``str.split`` and the tokenizer differ, are
+    encoded whole. A-Z are lower-cased first, as the normaliser does so itself, but not in texts where one
+    may be followed by a combining mark: the normaliser composes the two before.
     """
 
-    ODD = "".join(map(chr, (*range(0x1C, 0x20), 0x180E, 0x200B, 0xFEFF)))
+    ODD = frozenset(map(chr, (*range(0x1C, 0x20), 0x180E, 0x200B, 0xFEFF)))
+    MARKED = re.compile("[a-z][\u0300-\U0010ffff]")
+    PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cached = Tokenizer.from_file(path), cached
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spare = iter(range(256, 512))
+        kept = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.as_bytes = {b: chr(b if b in kept else next(spare)) for b in range(256)}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.used = np.empty(1 << 20, np.uint32), 0
-        self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+        self.flat, self.ends = array("I"), array("q", [0])
+
+    def _add(self, word: str, ids: list[int]) -> None:
+        self.known[word] = len(self.known)
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def _part(self, part: str) -> list[int]:
+        """Ids of one pre-token."""
+        if (k := self.known.get(part)) is not None:
+            return self.flat[self.ends[k] : self.ends[k + 1]].tolist()
+        text = part if part.isascii() else part.encode().decode("latin-1").translate(self.as_bytes)
+        ids = [t.id for t in self.model.tokenize(text)]
+        self._add(part, ids)
+        return ids
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.cached:
-            self._forget()
-        for word, found in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            ids, k = found.ids, len(self.known)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-            if k == len(self.starts):
-                self.starts, self.lengths = (np.concatenate([x, np.empty(len(x), np.int64)]) for x in (self.starts, self.lengths))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.lengths[k], self.known[word] = self.used, len(ids), k
-            self.used += len(ids)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [self.whole(t) if any(c in t for c in self.special) or not t.isascii() and any(c in t for c in self.ODD) or t.isascii() and any(c in t for c in self.ODD[:4]) else self._by_word(t) for t in texts]
+        rest = []
+        for word in words:
+            if word in self.known:
+                continue
+            if m := self.PLAIN.fullmatch(word):
+                ids = self._part(m[1])
+                if m[2]:
+                    self._add(word, ids + self._part(m[2]))
+            else:
+                rest.append(word)
+        if rest:
+            for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+                self._add(word, found.ids)
+
+    def encode(self, raws: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
+        out = []
+        for raw in raws:
+            text = (raw or b"").translate(LOWER).decode("utf-8", "replace")
+            if not text.isascii() and self.MARKED.search(text):
+                text = raw.decode("utf-8", "replace")
+            odd = any(c in text for c in self.special) or not self.ODD.isdisjoint(text)
+            out.append(self.whole((raw or b"").decode("utf-8", "replace")) if odd else self._by_word(text))
+        return out
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _by_word(self, text: str) -> np.ndarray:
         words = text.split()
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            if len(self.known) + len(new) > self.cached:
+        at = list(map(self.known.get, words))
+        if None in at:
+            new = list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None))
+            if len(self.known) + 2 * len(new) > self.cached:
                 self._forget()
                 new = list(dict.fromkeys(words))
-            if len(new) > self.cached:
-                return self.whole(text)
             self._learn(new)
-        known = self.known
-        at = np.fromiter((known[w] for w in words), np.int64, len(words))
-        lengths = self.lengths[at]
+            at = list(map(self.known.get, words))
+        at, held = np.array(at, np.int64), np.frombuffer(self.ends, np.int64)
+        starts, lengths = held[at], held[at + 1] - held[at]
         ends = np.cumsum(lengths)
         if not len(ends):
             return np.empty(0, np.uint32)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends + lengths, lengths)]
+        return np.frombuffer(self.flat, np.uint32)[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -121,7 +156,7 @@ def pieces_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", token
     schema = T.StructType([*fields, *([T.StructField("ids", T.ArrayType(T.LongType()))] if keep_ids else [])])
 
     def each(batch: pa.RecordBatch) -> dict:
-        found = tokenizer_of(path).encode([t or "" for t in batch.column(text).to_pylist()])
+        found = tokenizer_of(path).encode(binaries(batch.column(text)))
         out: dict[str, list] = {n: [] for n in ("row", "piece", "start", "length", "ids_crc32", "ids")}
         for i, ids in enumerate(found):
             ids = np.append(ids, np.uint32(END))
