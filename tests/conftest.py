@@ -21,4 +21,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    from quern.session import prepare
+
+    return prepare(session)
