@@ -38,7 +38,6 @@ POSITIVES, UNLABELLED, FEATURES = 4096, 12288, 4096
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_Z = 4.0
 LEAST_COUNT = 4
-CACHED_WORDS = 1 << 20
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -57,15 +56,14 @@ class Model:
 
     weights: dict[bytes, float]
     bias: float
-    known: dict[bytes, tuple[bytes, ...]] | None = None
 
-    def score(self, raw: bytes | None) -> float:
-        if self.known is None or len(self.known) > CACHED_WORDS:
-            self.known = {}
+    def score(self, raw: bytes | None, known: dict[bytes, tuple[bytes, ...]] | None = None) -> float:
+        """``known``: words with their features in the model, kept from text to text of a slice."""
+        known = {} if known is None else known
         found: set[bytes] = set()
         for word in set(words_of(raw)):
-            if (own := self.known.get(word)) is None:
-                own = self.known[word] = tuple(f for f in features_of(word) if f in self.weights)
+            if (own := known.get(word)) is None:
+                own = known[word] = tuple(f for f in features_of(word) if f in self.weights)
             if own:
                 found.update(own)
         z = self.bias + sum(sorted(self.weights[f] for f in found))
@@ -145,7 +143,8 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batch: pa.RecordBatch) -> dict:
-        found = [shared.value.score(x) for x in binaries(batch.column(text))]
+        known: dict[bytes, tuple[bytes, ...]] = {}
+        found = [shared.value.score(x, known) for x in binaries(batch.column(text))]
         return {c: batch.column(c) for c in docs_columns} | {"score": found, "predicted": [int(x >= 0.5) for x in found]}
 
     docs_columns = list(docs.columns)
