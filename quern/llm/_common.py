@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that Python code handles at once; an Arrow batch with more is cut into slices.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and Python; both sides hold a few at a time.
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         yield batch.slice(start)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Makes sure that Arrow batches in this session have no more than ``ARROW_BYTES`` or one row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("bB")) <= ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def arrow_type(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -61,6 +70,7 @@ def arrow_type(schema: T.StructType) -> pa.Schema:
 def map_slices(df: DataFrame, text: str, schema: T.StructType, each: Callable[[pa.RecordBatch], dict | None], limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded bytes; ``each`` turns one slice into columns of ``schema``."""
     names = schema.fieldNames()
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = arrow_type(schema)
