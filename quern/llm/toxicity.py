@@ -38,6 +38,8 @@ POSITIVES, UNLABELLED, FEATURES = 4096, 12288, 4096
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_Z = 4.0
 LEAST_COUNT = 4
+#: Bytes of text whose features, some 30 times as large in memory, are listed at once.
+LISTED_BYTES = 1 << 19
 
 
 def features_of(word: bytes) -> list[bytes]:
@@ -96,7 +98,7 @@ def _features(rows: DataFrame) -> DataFrame:
     def each(batch: pa.RecordBatch) -> dict:
         return {"positive": batch.column("positive"), "features": [list({f for w in set(words_of(x)) for f in features_of(w)}) for x in binaries(batch.column("text"))]}
 
-    return map_slices(rows, "text", schema, each)
+    return map_slices(rows, "text", schema, each, limit=LISTED_BYTES)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model:
