@@ -35,7 +35,7 @@ END = 0
 OPEN_BINS = 512
 PIECES_PER_PACKER = 1 << 16
 #: Distinct words whose ids a Python worker keeps; beyond it starts anew.
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 18
 
 
 class WordTokenizer:
