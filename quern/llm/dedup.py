@@ -17,8 +17,11 @@ Plan
    hashes summed map-side, one is kept.
 3. Sets of the nodes in kept buckets are computed from one row's text each, and each bucket is
    resolved in a task: all intersections by matrix products over the shared shingles, then a spanning
-   forest of the confirmed links. A bucket of more than ``tile`` nodes is cut into chunks, and every
-   pair of chunks is a task of its own, so that no task grows with a group and no link is lost.
+   forest of the confirmed links. A bucket of more than ``tile`` nodes, or of more than ``tile_shingles``
+   shingles, is first dealt at random into chunks that are resolved alone; then a representative of
+   each component found, dealt again; last, members that still have different roots are compared, a
+   pair of chunks to a task. So a large group of near copies, which soon hang together, costs in
+   proportion to its size, no task grows with a group or with long texts, and no link is lost.
 4. The forests' edges, fewer than nodes per bucket, become components by large-star and small-star
    steps as joins and map-side minima, with a checkpoint each.
 
@@ -34,10 +37,11 @@ kept key are all kept; an empty table gives no rows; columns other than the two
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +50,9 @@ from quern.llm._words import LOWER, gram_hashes, mix
 
 SHINGLE = 5
 ROWS, BANDS = 5, 28
-TILE = 1024
+TILE, TILE_SHINGLES = 1024, 1 << 20
+#: Rounds in which representatives of large buckets' components are compared, before all their members are.
+ROUNDS = 2
 #: Candidate keys that are broadcast when texts are fetched again (16 bytes each); above, the tables are joined by a shuffle.
 BROADCAST_KEYS = 1 << 19
 #: Bytes of text sketched at once: each shingle may need a permutation of the registers for a while.
@@ -126,11 +132,11 @@ def sketch(docs: DataFrame, *, shingle: int, rows: int, bands: int) -> DataFrame
 
 
 def candidate_buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, n) of the buckets with two nodes or more, one of those with the same members."""
-    members = nodes.select(F.explode("bands").alias("bucket"), "node")
+    """(bucket, node, n_shingles, n, shingles) of the buckets with two nodes or more, one of those with the same members."""
+    members = nodes.select(F.explode("bands").alias("bucket"), "node", "n_shingles")
     a, b = F.xxhash64("node"), F.xxhash64("node", F.lit(7))
-    sums = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(a).alias("a"), F.bit_xor(b).alias("b")).where("n > 1")
-    kept = sums.groupBy("n", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
+    sums = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.bit_xor(a).alias("a"), F.bit_xor(b).alias("b")).where("n > 1")
+    kept = sums.groupBy("n", "shingles", "a", "b").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "shingles")
     return members.join(kept, "bucket")
 
 
@@ -171,12 +177,13 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def confirmed(buckets: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Edges (a, b) of the spanning forests of the buckets' confirmed links."""
-    chunks = F.ceil(F.col("n") / tile).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit(3)), chunks).cast("int")
-    pairs = F.when(chunks <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"))))
-    placed = buckets.join(sets, "node").select("bucket", F.explode(pairs).alias("t"), "node", "hashes")
+def _chunks(n: Column, shingles: Column, tile: int, tile_shingles: int) -> Column:
+    """Into how many tasks so many nodes with so many shingles are cut."""
+    return F.greatest(F.lit(1), F.ceil(n / tile), F.least(n, F.ceil(shingles / tile_shingles))).cast("int")
+
+
+def resolved(placed: DataFrame, by: list[str], percent: int) -> DataFrame:
+    """Edges (a, b) of the spanning forests of the confirmed links among the rows (node, hashes) of each group."""
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def resolve(table: pa.Table) -> pa.Table:
@@ -187,7 +194,65 @@ def confirmed(buckets: DataFrame, sets: DataFrame, percent: int, tile: int) -> D
         names = [nodes[i] for i in order]
         return pa.table([pa.array([names[i] for i, _ in edges], pa.binary()), pa.array([names[j] for _, j in edges], pa.binary())], schema=arrow_type(schema))
 
-    return placed.groupBy("bucket", F.col("t.i").alias("i"), F.col("t.j").alias("j")).applyInArrow(resolve, schema)
+    return placed.select(*by, "node", "hashes").groupBy(*by).applyInArrow(resolve, schema)
+
+
+def _dealt(members: DataFrame, sets: DataFrame, percent: int, tile: int, tile_shingles: int, salt: int) -> DataFrame:
+    """Edges found when each bucket's members are dealt at random into chunks, and each chunk is resolved alone."""
+    chunk = F.pmod(F.xxhash64("node", "bucket", F.lit(salt)), _chunks(F.col("n"), F.col("shingles"), tile, tile_shingles)).cast("int")
+    return resolved(members.select("bucket", chunk.alias("chunk"), "node").join(sets, "node"), ["bucket", "chunk"], percent)
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int, tile: int, tile_shingles: int) -> DataFrame:
+    """Edges between members (bucket, node, n_shingles, root) of a bucket that have different roots.
+
+    The members of a root that fill a chunk have chunks of their own, which are not compared with one
+    another; those of smaller roots share chunks. Every other pair of chunks is a task.
+    """
+    sizes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"))
+    own = (F.col("n") >= tile) | (F.col("shingles") >= tile_shingles)
+    sizes = sizes.withColumn("of", F.when(own, F.col("root"))).groupBy("bucket", "of").agg(F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    sizes = sizes.withColumn("count", _chunks(F.col("n"), F.col("shingles"), tile, tile_shingles)).drop("n", "shingles")
+    # a bucket has fewer such rows than it has chunks
+    at = Window.partitionBy("bucket").orderBy("of")
+    sizes = materialise(sizes.withColumn("first", F.sum("count").over(at.rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["first"]).withColumn("all", F.sum("count").over(Window.partitionBy("bucket"))))
+    whole = sizes.where("of IS NOT NULL").select("bucket", F.col("of").alias("root"), F.lit(True).alias("whole"), "count", "first", "all")
+    shared = sizes.where("of IS NULL").select("bucket", F.col("count").alias("count_"), F.col("first").alias("first_"), F.col("all").alias("all_"))
+    placed = members.join(whole, ["bucket", "root"], "left").join(shared, "bucket", "left")
+    pick = lambda c: F.when(F.col("whole"), F.col(c)).otherwise(F.col(f"{c}_")).cast("int")
+    placed = placed.select("bucket", "node", F.coalesce("whole", F.lit(False)).alias("whole"), pick("count").alias("count"), pick("first").alias("first"), pick("all").alias("all"))
+    mine = F.col("first") + F.pmod(F.xxhash64("node", F.lit(3)), F.col("count")).cast("int")
+    partners = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda o: ~F.col("whole") | (o < F.col("first")) | (o >= F.col("first") + F.col("count")))
+    pairs = F.transform(partners, lambda o: F.struct(F.least(o, F.col("mine")).alias("i"), F.greatest(o, F.col("mine")).alias("j")))
+    placed = placed.withColumn("mine", mine).select("bucket", "node", F.explode(pairs).alias("t")).select("bucket", "node", "t.i", "t.j")
+    return resolved(placed.join(sets, "node"), ["bucket", "i", "j"], percent)
+
+
+def connected(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, tile: int, tile_shingles: int) -> DataFrame:
+    """(node, root) of the nodes with confirmed links to others; ``sets_of`` gives (node, hashes) of some buckets' nodes."""
+    roots = components(_dealt(buckets, sets_of(buckets), percent, tile, tile_shingles, 0))
+    large = materialise(buckets.where(_chunks(F.col("n"), F.col("shingles"), tile, tile_shingles) > 1))
+    if large.isEmpty():
+        return roots
+    sets = materialise(sets_of(large))
+    for salt in range(1, ROUNDS + 2):
+        # the members of large buckets that still have several roots, with those; what is joined is written before,
+        # so that the joins find plain shuffles, of which Spark can split a hot bucket's
+        named = materialise(large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        several = materialise(named.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("bucket"))
+        if several.isEmpty():
+            return roots
+        left = named.join(several, "bucket", "left_semi")
+        if salt > ROUNDS:
+            found = _across(materialise(left.select("bucket", "node", "n_shingles", "root")), sets, percent, tile, tile_shingles)
+        else:
+            one = materialise(left.groupBy("bucket", "root").agg(F.min_by(F.struct("node", "n_shingles"), F.xxhash64("node", F.lit(salt))).alias("one")).select("bucket", "one.*"))
+            totals = materialise(one.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")))
+            found = _dealt(one.join(totals, "bucket"), sets, percent, tile, tile_shingles, salt)
+        found = materialise(found)
+        if not found.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+    return roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,9 +260,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r")).distinct())
     before = None
     while True:
-        # large star: neighbours above a node go to the least of its neighbourhood
+        # large star: neighbours above a node go to the least of its neighbourhood; that is written, so that the
+        # join finds two plain shuffles, of which Spark can split the edges of a node with very many
         both = edges.union(edges.select(F.col("r").alias("v"), F.col("v").alias("r")))
-        least = both.groupBy("v").agg(F.min("r").alias("m")).select("v", F.least("v", "m").alias("m"))
+        least = materialise(both.groupBy("v").agg(F.min("r").alias("m")).select("v", F.least("v", "m").alias("m")))
         edges = both.join(least, "v").where("r > v").select(F.col("r").alias("v"), F.col("m").alias("r")).distinct()
         # small star: a node and its neighbours below go to the least of those
         least = edges.groupBy("v").agg(F.min("r").alias("m"))
@@ -210,15 +276,14 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = 85, rows: int = ROWS, bands: int = BANDS, tile: int = TILE) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = 85, rows: int = ROWS, bands: int = BANDS, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """Per row: the key, ``n_shingles``, ``component_id`` (the component's smallest key) and ``kept``."""
     docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     base = materialise(sketch(docs, shingle=shingle, rows=rows, bands=bands))
     own = base.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("least"))
-    distinct = base.where("node IS NOT NULL").select("node", "bands").dropDuplicates(["node"])
+    distinct = base.where("node IS NOT NULL").select("node", "n_shingles", "bands").dropDuplicates(["node"])
     buckets = materialise(candidate_buckets(distinct))
-    sets = _sets(docs, base, buckets, shingle)
-    roots = components(confirmed(buckets, sets, percent, tile))
+    roots = connected(buckets, lambda some: _sets(docs, own, some, shingle), percent, tile, tile_shingles)
     rooted = own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.join(tops, "root").select("node", "component_id")
@@ -227,12 +292,11 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept"))
 
 
-def _sets(docs: DataFrame, base: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes) of the nodes in buckets, from the text of one row each."""
+def _sets(docs: DataFrame, own: DataFrame, buckets: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes) of the nodes in buckets, from the text of one row each, whose key ``own`` has."""
     wanted = buckets.select("node").distinct()
-    rows = base.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key"))
-    rows = materialise(rows)
-    keyed = rows.where("key IS NOT NULL").select("key").distinct()
+    rows = materialise(own.join(wanted, "node", "left_semi").select(F.col("least").alias("key")))
+    keyed = rows.where("key IS NOT NULL").distinct()
     few = keyed.count() <= BROADCAST_KEYS
     texts = docs.where("key IS NOT NULL").join(F.broadcast(keyed) if few else keyed, "key", "left_semi")
     if not rows.where("key IS NULL").isEmpty():

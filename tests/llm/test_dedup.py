@@ -52,8 +52,8 @@ def corpus(n=40, seed=5):
 def test_components_equal_brute_force(spark):
     rows = corpus()
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit("clash"))
-    for percent, tile in ((85, 1024), (80, 3)):  # tiles smaller than the groups
-        got = dedup.near_duplicates(d, percent=percent, tile=tile).collect()
+    for percent, tile, shingles in ((85, 1024, 1 << 20), (80, 3, 1 << 20), (80, 1024, 300)):  # tiles smaller than the groups
+        got = dedup.near_duplicates(d, percent=percent, tile=tile, tile_shingles=shingles).collect()
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, percent)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert dedup.near_duplicates(d.limit(0)).count() == 0
