@@ -91,9 +91,13 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector
     ok = F.col(key).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     own = F.monotonically_increasing_id()
     found = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"), own.alias("own"), ok.alias("ok")).where("ok").drop("ok")
-    salt = F.xxhash64("own")
-    as_row = found.select(F.lit(False).alias("asks"), "id", "own", "x", F.pmod(salt, F.lit(n_rows)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1)).cast("array<long>")).alias("qb"))
-    as_query = found.where("asks").select(F.lit(True).alias("asks"), "id", "own", "x", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1)).cast("array<long>")).alias("rb"), F.pmod(salt, F.lit(n_queries)).alias("qb"))
+    # one scan deals out a row as candidate and as query, so that ``own`` is the same in both
+    blocks = lambda n: F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")
+    place = lambda asks, rb, qb: F.struct(F.lit(asks).alias("asks"), rb.alias("rb"), qb.alias("qb"))
+    rb, qb = F.pmod(F.xxhash64("own"), F.lit(n_rows)), F.pmod(F.xxhash64("own"), F.lit(n_queries))
+    as_row = F.transform(blocks(n_queries), lambda b: place(False, rb, b))
+    as_query = F.transform(blocks(n_rows), lambda b: place(True, b, qb))
+    dealt = found.select("id", "own", "x", F.explode(F.when(F.col("asks"), F.concat(as_row, as_query)).otherwise(as_row)).alias("at")).select("at.asks", "id", "own", "x", "at.rb", "at.qb")
     schema = T.StructType([T.StructField("own", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("rb", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
 
     def tile(table: pa.Table) -> pa.Table:
@@ -111,7 +115,7 @@ def nearest(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector
         first = [table.column(c)[0].as_py() for c in ("own", "query_id", "rb")]
         return pa.table([*([v] for v in first), [[i for _, i in best]], [[d for d, _ in best]]], schema=arrow_type(schema))
 
-    lists = as_row.unionByName(as_query).groupBy(F.size("x").alias("d"), "rb", "qb").applyInArrow(tile, schema)
+    lists = dealt.groupBy(F.size("x").alias("d"), "rb", "qb").applyInArrow(tile, schema)
     while n_rows > 1:
         lists = lists.withColumn("rb", F.expr(f"rb div {MERGED}")).groupBy("own", "rb").applyInArrow(merge, schema)
         n_rows = -(-n_rows // MERGED)
