@@ -59,7 +59,7 @@ def test_nearest_equal_brute_force(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(6, 5))
     x = [(i, [float(np.float32(v)) for v in base[i % 6] * r.choice([1, 1.0001, 50]) + r.normal(size=5) * r.choice([0, 1e-3])]) for i in range(400)]
-    x += [(500, None), (600, [0.0] * 5), (700, [1.0, None, 1, 1, 1]), (800, [float("nan")] * 5), (900, [float("inf")] * 5), (1000, []), (None, [1.0] * 5), (1100, [1.0] * 3), (1101, [2.0, 1, 1]), (42, x[42][1])]
+    x += [(500, None), (600, [0.0] * 5), (700, [1.0, None, 1.0, 1.0, 1.0]), (800, [float("nan")] * 5), (900, [float("inf")] * 5), (1000, []), (None, [1.0] * 5), (1100, [1.0] * 3), (1101, [2.0, 1.0, 1.0]), (42, x[42][1])]
     d = spark.createDataFrame(x, "vec_id long, embedding array<float>").withColumn("x", F.lit("clash"))
     valid = [(k, np.array(v, np.float64)) for k, v in x if k is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     want = {}
