@@ -11,7 +11,7 @@ the step goes against it instead. A text's features are the distinct words (digi
 differ by more than chance. Labels, language, source and key are never inputs of a score.
 
 Training reads a bounded sample: at most ``positives`` toxic and ``unlabelled`` other rows, the first by
-a hash of the key; the bounds are parameters. Counting features is distributed; the driver gets at
+a hash of the key, one text for each key; the bounds are parameters. Counting features is distributed; the driver gets at
 most ``features`` of them and the sample's rows over those. Scoring reads every whole text in place,
 without a shuffle.
 
@@ -69,7 +69,7 @@ class Model:
             if own:
                 found.update(own)
         z = self.bias + sum(sorted(self.weights[f] for f in found))
-        return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
+        return 0.0 if z == -np.inf else float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
 def fit(rows: np.ndarray, columns: np.ndarray, positive: np.ndarray, n_features: int, prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -101,18 +101,25 @@ def _features(rows: DataFrame) -> DataFrame:
     return map_slices(rows, "text", schema, each, limit=LISTED_BYTES)
 
 
+def greatest_prior(shares: list[tuple[float, float]], n_p: int, n_u: int) -> float:
+    """The greatest share of toxic texts in U that features' shares in P and U allow: a feature is at least as
+    frequent in U as U's toxic texts make it. Sampling errors of four deviations are granted."""
+    error = lambda share, n: LEAST_Z * np.sqrt(max(share * (1 - share), 1 / n) / n)
+    return min([(u + error(u, n_u)) / (p - error(p, n_p)) for p, u in shares if p > 2 * error(p, n_p)], default=1.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, features: int = FEATURES) -> Model:
-    """A model from the training folds; ``prior`` is by default the share of toxic rows among their labelled ones."""
+    """A model from the training folds; ``prior`` is by default the share of toxic rows among their labelled ones,
+    or what the features allow, if that is less."""
     own = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(~held_out(F.col("key")))
     known = labels.select(F.col(key).alias("key"), F.col(label).alias("label")).where(~held_out(F.col("key")) & F.col("label").isNotNull()).groupBy("key").agg(F.max("label").alias("label"))
-    if prior is None:
-        prior = known.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0] or 0.0
-    prior = min(max(prior, 1e-4), 1 - 1e-4)
+    share = prior if prior is not None else known.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0] or 0.0
     first = lambda df, n: df.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(n)
     # both samples have a fixed bound, so they are broadcast
     toxic = first(known.where("label > 0"), positives)
-    p = own.join(F.broadcast(toxic), "key", "left_semi").select(F.lit(True).alias("positive"), "text")
-    u = own.join(F.broadcast(first(own, unlabelled)), "key", "left_semi").select(F.lit(False).alias("positive"), "text")
+    one = lambda keys: own.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    p = one(toxic).select(F.lit(True).alias("positive"), "text")
+    u = one(first(own, unlabelled)).select(F.lit(False).alias("positive"), "text")
     sample = materialise(_features(p.unionByName(u)))
     sizes = {r[0]: r[1] for r in sample.groupBy("positive").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
@@ -121,8 +128,11 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     counts = sample.select("positive", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("u"))
     both = (F.col("p") + F.col("u") + 1) / (n_p + n_u + 2)
     z = (F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(both * (1 - both) * (1 / n_p + 1 / n_u))
-    chosen = counts.where(F.col("p") + F.col("u") >= LEAST_COUNT).select("f", z.alias("z")).where(F.abs("z") >= LEAST_Z)
-    names = [bytes(r[0]) for r in chosen.orderBy(F.abs("z").desc(), "f").limit(features).collect()]
+    chosen = counts.where(F.col("p") + F.col("u") >= LEAST_COUNT).select("f", "p", "u", z.alias("z")).where(F.abs("z") >= LEAST_Z)
+    rows = chosen.orderBy(F.abs("z").desc(), "f").limit(features).collect()
+    if prior is None:
+        share = min(share, greatest_prior([(r["p"] / n_p, r["u"] / n_u) for r in rows], n_p, n_u))
+    names = [bytes(r["f"]) for r in rows]
     at = {f: i for i, f in enumerate(names)}
     schema = T.StructType([T.StructField("positive", T.BooleanType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
 
@@ -134,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     lists = table.column("at").combine_chunks()
     columns, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
     order = np.repeat(np.arange(len(sizes)), sizes)
-    w, b = fit(order, columns, table.column("positive").to_numpy(), len(names), prior)
+    w, b = fit(order, columns, table.column("positive").to_numpy(), len(names), min(max(share, 1e-4), 1 - 1e-4))
     return Model({f: float(x) for f, x in zip(names, w, strict=True)}, b)
 
 

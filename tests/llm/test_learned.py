@@ -48,6 +48,18 @@ def test_risk_is_corrected_for_the_prior():
     assert b < 0 < b + w[0]  # though U is 30 % positive, it isn't taken for negative
 
 
+def test_features_bound_the_prior():
+    r = np.random.default_rng(2)
+    for true in (0.02, 0.1, 0.4):
+        n_p, n_u = 2000, 12000
+        toxic = r.random(n_u) < true
+        shares = [((r.random(n_p) < q).mean(), (r.random(n_u) < np.where(toxic, q, base)).mean()) for q, base in zip(r.random(500), r.random(500) * 0.3, strict=True)]
+        assert true <= toxicity.greatest_prior(shares, n_p, n_u)
+        alone = [((r.random(n_p) < 0.7).mean(), (toxic & (r.random(n_u) < 0.7)).mean())]
+        assert true <= toxicity.greatest_prior([*shares, *alone], n_p, n_u) < 1.35 * true + 0.01
+    assert toxicity.greatest_prior([], 10, 10) == toxicity.greatest_prior([(0.5, 0.0)], 3, 9) == 1.0
+
+
 def article(page):
     body = page[page.index("<article>") + 9 : page.index("</article>")]
     return " ".join(unescape(re.sub(r"<(?:p|/p|br|h1|/h1|li|/li|ul|/ul)>", " ", body).replace("<b>", "").replace("</b>", "")).split())
