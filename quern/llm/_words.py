@@ -9,7 +9,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: As LOWER, and all but word bytes (digits, a-z, 0x80 and above) to a space.
 FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in LOWER)
 #: Bytes hashed at once; longer texts are cut into overlapping parts.
-PART_BYTES = 8 << 20
+PART_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
