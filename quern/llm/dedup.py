@@ -50,7 +50,7 @@ from quern.llm._words import LOWER, gram_hashes, mix
 
 SHINGLE = 5
 ROWS, BANDS = 5, 28
-TILE, TILE_SHINGLES = 1024, 1 << 20
+TILE, TILE_SHINGLES = 1024, 1 << 19
 #: Rounds in which representatives of large buckets' components are compared, before all their members are.
 ROUNDS = 2
 #: Candidate keys that are broadcast when texts are fetched again (16 bytes each); above, the tables are joined by a shuffle.
@@ -151,7 +151,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     order = np.argsort(col, kind="stable")
     doc, col = doc[order], col[order]
     inter = np.zeros((n, n), np.float32)
-    width = max(64, (32 << 20) // (4 * n))
+    width = max(64, (8 << 20) // (4 * n))
     for start in range(0, int(col[-1]) + 1 if len(col) else 0, width):
         lo, hi = np.searchsorted(col, [start, start + width])
         tile = np.zeros((n, min(width, int(col[-1]) + 1 - start)), np.float32)
