@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, dedup, pack, toxicity
-from quern.llm._common import read, shared_dir
+from quern.llm._common import materialise, read, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near-duplicates: percent of shared five-word shingles.
@@ -34,11 +35,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group; of rows with that doc_id the first."""
-    docs = docs.select(*COLUMNS, F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("_row"))
+    docs = _numbered(docs)
     found = dedup.near_duplicates(docs, key="_row", percent=PERCENT)
-    gone = found.where("NOT kept").select(F.col("_row.row").alias("gone")).persist()
+    gone = found.where("NOT kept").select(F.col("_row").alias("gone")).persist()
     few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("_row.row") == F.col("gone"), "left_anti").select(*COLUMNS)
+    return docs.join(F.broadcast(gone) if few else gone, F.col("_row") == F.col("gone"), "left_anti").select(*COLUMNS)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``: doc_id and a place that stays the row's own however often, and by how many executors,
+    it is read. In files that is the file and the row's index in it; other rows are numbered and written."""
+    try:
+        place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+        return docs.select(*COLUMNS, F.struct("doc_id", *place).alias("_row"))
+    except AnalysisException:
+        return materialise(docs.select(*COLUMNS, F.struct("doc_id", F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row")).alias("_row")))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
