@@ -61,22 +61,22 @@ def lower(x: Typed) -> Typed:
     return Typed(F.lower(_text(x)), TEXT)
 
 
-def _stripped(x: Typed, pattern: str) -> Typed:
+def _stripped(x: Typed, strip) -> Typed:
     _text(x)
-    return Typed(F.regexp_replace(x.column, pattern, ""), TEXT)
+    return Typed(strip(x.column, F.lit(SPACE)), TEXT)
 
 
 def trim(x: Typed) -> Typed:
     """Without white space, of any kind, at both ends."""
-    return _stripped(x, f"^{SPACE}+|{SPACE}+$")
+    return _stripped(x, F.btrim)
 
 
 def ltrim(x: Typed) -> Typed:
-    return _stripped(x, f"^{SPACE}+")
+    return _stripped(x, F.ltrim)
 
 
 def rtrim(x: Typed) -> Typed:
-    return _stripped(x, f"{SPACE}+$")
+    return _stripped(x, F.rtrim)
 
 
 # ---- dates and times

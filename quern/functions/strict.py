@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from quern.types import INT_BOUNDS, SqlType, TypeMismatch, as_type
 
 #: White space as Unicode defines it.
-SPACE = r"[\x{9}-\x{d}\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_PY_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _DATE = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 _TIME = r"[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
 _NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
@@ -29,14 +28,14 @@ _TRUE, _FALSE = ("true", "t", "1"), ("false", "f", "0")
 
 def trim(text: Column) -> Column:
     """Without white space, of any kind, at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def _bare(text: Column, quotes: str) -> Column:
     """Trimmed, and without the quotes around it."""
     out = trim(text)
     for q in quotes:
-        out = F.regexp_replace(out, f"^{q}+|{q}+$", "")
+        out = F.btrim(out, F.lit(q))
     return out
 
 
@@ -115,7 +114,7 @@ def parse_literal(text: str, kind: SqlType) -> bool | int | float | str | date |
     def wrong() -> TypeMismatch:
         return TypeMismatch(f"{text!r} is not a {kind}")
 
-    body = text.strip(_PY_SPACE)
+    body = text.strip(SPACE)
     if kind.family == "bit":
         body = re.sub(r"^[Bb](?='[\s\S]*'$)", "", body).strip("'")
     for q in _QUOTES.get(kind.family, ""):
