@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +56,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         yield batch.slice(start)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Makes sure that Arrow batches in this session have no more than ``ARROW_BYTES`` or one row."""
+def ready(spark: SparkSession) -> None:
+    """Makes sure that Arrow batches in this session have no more than ``ARROW_BYTES`` or one row, and that Python
+    workers find this package, wherever the driver was started."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in f"{env.get('PYTHONPATH', '')}:{os.environ.get('PYTHONPATH', '')}".split(":"):
+        env["PYTHONPATH"] = f"{env.get('PYTHONPATH', '')}:{root}".strip(":")
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(spark.conf.get(key).rstrip("bB")) <= ARROW_BYTES:
         spark.conf.set(key, f"{ARROW_BYTES}b")
@@ -70,7 +76,7 @@ def arrow_type(schema: T.StructType) -> pa.Schema:
 def map_slices(df: DataFrame, text: str, schema: T.StructType, each: Callable[[pa.RecordBatch], dict | None], limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded bytes; ``each`` turns one slice into columns of ``schema``."""
     names = schema.fieldNames()
-    bound_batches(df.sparkSession)
+    ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = arrow_type(schema)
@@ -88,4 +94,5 @@ def crc32_le(ids: np.ndarray) -> int:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
