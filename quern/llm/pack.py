@@ -235,7 +235,8 @@ def pack(pieces: DataFrame, *, length: int = LENGTH, open_bins: int = OPEN_BINS,
     """Pieces (as ``pieces_of`` gives them) with ``sequence_id`` and ``offset``.
 
     Every bin that its packer closed is final. The bins left open at the packers' ends, a bounded
-    number for each, are emptied and their pieces dealt to fewer packers, until one had them all.
+    number for each, are emptied and their pieces dealt to fewer packers, until one had them all; where
+    packers take so few pieces that hardly a bin closes, the next ones take twice as many.
     """
     pieces = materialise(pieces)
     done, level, n = None, 0, pieces.count()
@@ -251,7 +252,7 @@ def pack(pieces: DataFrame, *, length: int = LENGTH, open_bins: int = OPEN_BINS,
         pieces = packed.where("open").drop("sequence_id", "offset", "open")
         left = pieces.count()
         if left > n // 2:
-            return done.unionByName(packed.where("open").drop("open"))
+            pieces_per_packer *= 2
         n, level = left, level + 1
 
 
