@@ -13,8 +13,9 @@ Every page is handled in place from its whole html; nothing is shuffled, and the
 hundred numbers.
 
 Defined cases: null and empty html give the empty text; unclosed and misnested tags close with their
-parents; a tag cut off by the page's end, and an unclosed script or style, reach to the end; repeated
-rows are rows; an empty table gives no rows; other columns are carried along, except that columns
+parents; a tag cut off by the page's end, and an unclosed script, style, textarea or title, reach to the end;
+what browsers don't show of iframe, noembed, noframes and template is left out where they are closed;
+one of these that ends with '/>' has no content; repeated rows are rows; an empty table gives no rows; other columns are carried along, except that columns
 named like the outputs are replaced.
 """
 
@@ -34,13 +35,19 @@ from pyspark.sql import types as T
 
 from quern.llm._common import map_slices, read
 
+_ATTRS = r"""(?:[^>"'/]++|/(?!>)|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea|iframe|noembed|noframes|xmp|template|svg|math|object)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:/>|>.*?(?:</(?P=raw)\s*[^>]*>|\Z))"""
+    rf"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|title|textarea)(?=[\s/>]){_ATTRS}(?:/>|>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z))"""
+    # not shown, but only left out up to an end of its own: nothing is lost after an unclosed one
+    rf"""|<(?P<unseen>iframe|noembed|noframes|template)(?=[\s/>]){_ATTRS}(?:/>|>(?:[^<]++|<(?!/?(?P=unseen)[\s/>]))*+</(?P=unseen)[^>]*+>)"""
     r"""|<[!?][^>]*+(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|</?[a-zA-Z][^>]*+(?:>|\Z)""",
     re.S | re.I,
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img object".split())
+#: Drawings and formulas stand in a line; the text elements of drawings are blocks.
+_INLINE |= frozenset("svg g path circle ellipse line rect polygon polyline defs use symbol marker mask pattern image filter stop clippath lineargradient radialgradient tspan textpath".split())
+_INLINE |= frozenset("math semantics annotation mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom menclose merror mmultiscripts mprescripts".split())
 #: What an opening tag closes, and the tags beyond which it doesn't look.
 _CLOSES = {t: (frozenset({"p"}), frozenset("td th li div section article body button".split())) for t in "p div ul ol dl h1 h2 h3 h4 h5 h6 section article aside nav header footer form table blockquote pre main figure hr address fieldset".split()}
 _CLOSES |= {"li": (frozenset({"li"}), frozenset({"ul", "ol"})), "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})), "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})), "tr": (frozenset({"tr"}), frozenset({"table"})), "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})), "option": (frozenset({"option"}), frozenset({"select"})), "body": (frozenset({"head"}), frozenset())}

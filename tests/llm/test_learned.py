@@ -109,6 +109,28 @@ def test_blocks(page, texts):
     assert [b.text for b in html.blocks_of(page or "")] == texts
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        *((f'<article><p>a</p><{tag} width="1"/><p>b</p></article><{tag}>x</{tag}><p>c', ["a", "b", *x, "c"]) for tag, x in (("svg", ["x"]), ("math", ["x"]), ("object", ["x"]), ("iframe", []), ("template", []), ("title", []), ("script", []))),
+        *((f"<article><{tag} class=icon><p>a</p></article><p>b", ["a", "b"]) for tag in ("svg", "math", "object", "xmp", "iframe", "noframes", "template")),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <svg><path d='M0'/></svg>so.</p><object data=a><p>c</p></object><xmp>d</xmp>", ["Let x=1 be so.", "c", "d"]),
+        ("<svg><title>icon</title><text>a</text><text>b</text></svg>", ["a", "b"]),
+        ("<title-bar>a</title-bar><p>b<script src='/x/'>y</script-x></script>c", ["a", "bc"]),
+        ("<iframe src=/a/b.html>x</iframe><p>a<template><b>y</b></template><noframes>", ["a"]),
+        ("<p>a<textarea>rest <p>of it", ["a"]),
+    ],
+)
+def test_only_what_is_not_shown_is_left_out(page, texts):
+    assert [b.text for b in html.blocks_of(page)] == texts
+
+
+def test_article_after_a_self_closed_icon():
+    text = "It is a text of some words, it is."
+    for icon in ('<svg width="1"/>', "<svg width='1'>", "<object data='a'>", "<math/>"):
+        assert html.default_field().extract(f"<article><p>{icon}{text}</p><p>{text}</p></article><footer>&copy; x</footer>") == f"{text} {text}"
+
+
 def test_extract_table(spark):
     p = spark.createDataFrame([(1, None), (1, None), (2, "<article><p>It is a text of some words, it is.</p></article><footer>&copy; x</footer>")], "page_id long, html string").withColumn("text", F.lit("clash"))
     got = html.extract(p).collect()
