@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
@@ -79,10 +80,15 @@ def _kinds(names: str) -> set[str]:
     return out
 
 
+#: Other names, of which a page may have any number, give one common feature: so paths stay small at any depth.
+_TAGS = _INLINE | _VOID | frozenset("html head body title article aside section nav main header footer h1 h2 h3 h4 h5 h6 hgroup search address p pre blockquote ul ol li dl dt dd div figure figcaption table caption colgroup thead tbody tfoot tr td th form fieldset legend button select option optgroup textarea output progress meter datalist details summary dialog menu noscript center dir frameset iframe noembed noframes template xmp audio video picture canvas map text desc foreignobject slot strike".split())
+_ROLES = frozenset("alert alertdialog application article banner button complementary contentinfo definition dialog document feed figure form group heading img link list listbox listitem log main marquee math menu menubar menuitem navigation none note option presentation region row rowgroup search searchbox separator status switch tab table tablist tabpanel term textbox timer toolbar tooltip tree".split())
+
+
 @lru_cache(1 << 14)
 def _own(tag: str, attrs: str) -> tuple[frozenset[str], str | None]:
     """Features that an element gives to the blocks in it; its ``data-main``."""
-    out, label = {f"in:{tag}"}, None
+    out, label = {f"in:{tag if tag in _TAGS else '*'}"}, None
     if attrs:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -92,7 +98,7 @@ def _own(tag: str, attrs: str) -> tuple[frozenset[str], str | None]:
                 kinds = _kinds(value)
                 out |= {f"kind:{k}" for k in kinds}
                 if name == "role":
-                    out.add(f"role:{value.lower()}")
+                    out.add(f"role:{role if (role := value.lower()) in _ROLES else '*'}")
     return frozenset(out), label
 
 
@@ -105,7 +111,7 @@ class Block:
     label: str | None = None
 
 
-@dataclass
+@dataclass(slots=True)
 class _Frame:
     tag: str
     path: frozenset[str]
@@ -117,6 +123,8 @@ def blocks_of(html: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     out: list[Block] = []
     stack = [_Frame("", frozenset(), None, "")]
+    places: dict[str, list[int]] = {}  # of the open elements of a tag in the stack, so that no search walks it
+    blocks: list[int] = []  # places of those that are not inline
     held: list[str] = []
     where = stack[0]
     linked = depth = 0  # characters of link text in the block; open links
@@ -143,7 +151,14 @@ def blocks_of(html: str) -> list[Block]:
     def pop_to(n: int) -> None:
         nonlocal depth
         while len(stack) > n:
-            depth -= stack.pop().tag == "a"
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag not in _INLINE:
+                blocks.pop()
+            depth -= tag == "a"
+
+    def last(tags: Iterable[str]) -> int:
+        return max([places[t][-1] for t in tags if places.get(t)], default=0)
 
     at = 0
     for m in _TOKEN.finditer(html):
@@ -159,28 +174,22 @@ def blocks_of(html: str) -> list[Block]:
         if not inline:
             flush()
         if m["close"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-                if inline and stack[i].tag not in _INLINE:
-                    break
+            if (i := last((tag,))) and not (inline and blocks and blocks[-1] > i):
+                pop_to(i)
         elif tag not in _VOID:
             if tag in _CLOSES:
                 closed, beyond = _CLOSES[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in closed:
-                        pop_to(i)
-                        break
-                    if stack[i].tag in beyond:
-                        break
+                if (i := last(closed)) > last(beyond):
+                    pop_to(i)
             if m["attrs"].endswith("/") and inline:
                 continue
             own, label = _own(tag, m["attrs"])
             top = stack[-1]
-            if len(stack) < 512:
-                stack.append(_Frame(tag, top.path if own <= top.path else top.path | own, top.label if label is None else label, top.block if inline else tag))
-                depth += tag == "a"
+            places.setdefault(tag, []).append(len(stack))
+            if not inline:
+                blocks.append(len(stack))
+            stack.append(_Frame(tag, top.path if own <= top.path else top.path | own, top.label if label is None else label, top.block if inline else tag))
+            depth += tag == "a"
     add(html[at:])
     flush()
     return out

@@ -125,6 +125,19 @@ def test_only_what_is_not_shown_is_left_out(page, texts):
     assert [b.text for b in html.blocks_of(page)] == texts
 
 
+@pytest.mark.parametrize("n", [600, 20_000])
+def test_elements_at_any_depth(n):
+    text = "It is a text of some words, it is."
+    for tag in ("div", "font", "x-y"):
+        page = f"<{tag}><article>{f'<{tag}>' * n}<p>{text}</p>{f'</{tag}>' * n}<p>{text}</p></article><footer><p>&copy; x</p></footer></{tag}>"
+        assert [("in:article" in b.path, "in:footer" in b.path) for b in html.blocks_of(page)] == [(True, False)] * 2 + [(False, True)]
+        assert html.default_field().extract(page) == f"{text} {text}"
+    (aside,) = html.blocks_of("<div>" * n + "<aside class=comments>x</aside>")
+    assert {"in:aside", "kind:talk"} <= aside.path and aside.tag == "aside"
+    many = html.blocks_of("".join(f"<x{i}><p>y" for i in range(n)) + "</z><div>")
+    assert len(many) == n and all(len(b.path) < 5 for b in many)
+
+
 def test_article_after_a_self_closed_icon():
     text = "It is a text of some words, it is."
     for icon in ('<svg width="1"/>', "<svg width='1'>", "<object data='a'>", "<math/>"):
