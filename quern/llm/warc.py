@@ -35,9 +35,7 @@ MIN_BYTES = 1000
 RECORDS_PER_ARCHIVE = 2048
 #: Repeated payloads whose table (about 80 bytes each) is broadcast; above, the tables are joined by a shuffle.
 BROADCAST_GROUPS = 1 << 17
-#: A header longer than this is not taken for one.
-HEADER_BYTES = 1 << 16
-MAGIC = b"WARC/1."
+MAGIC = re.compile(rb"WARC/1\.\d+\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -82,21 +80,30 @@ def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", html: str =
 
 def candidates(data: bytes) -> list[tuple]:
     """(offset, successor, key, type, refers_to, digest, payload bytes, whether the payload agrees) of what looks like a record."""
-    out, at = [], data.find(MAGIC)
-    while at >= 0:
-        stop = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-        if stop >= 0 and (found := _record(data, at, stop + 4)):
-            out.append(found)
-        at = data.find(MAGIC, at + 1)
+    # headers may have any length; those that end at the same place share their lines, which are read once
+    out, stop, named, seen = [], -1, {}, {}
+    for m in MAGIC.finditer(data):
+        if stop < m.end() - 2:
+            if (stop := data.find(b"\r\n\r\n", m.end() - 2)) < 0:
+                break
+            named, start, seen = {}, m.end(), {}
+            for x in data[start:stop].split(b"\r\n"):
+                k, _, v = x.partition(b":")
+                named[k.strip().lower()] = start, v.strip()
+                start += len(x) + 2
+        own = tuple(named[k][1] if k in named and named[k][0] >= m.end() else b"" for k in _NAMES)
+        if own not in seen:
+            seen[own] = _record(data, stop + 4, dict(zip(_NAMES, own, strict=True)))
+        if seen[own]:
+            out.append((m.start(), *seen[own]))
     return out
 
 
-def _record(data: bytes, at: int, body: int) -> tuple | None:
-    version, *lines = data[at : body - 4].split(b"\r\n")
-    if not re.fullmatch(rb"WARC/1\.\d+", version):
-        return None
-    named = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
-    size = named.get(b"content-length", b"")
+_NAMES = (b"content-length", b"warc-record-id", b"warc-refers-to", b"warc-payload-digest", b"warc-type")
+
+
+def _record(data: bytes, body: int, named: dict[bytes, bytes]) -> tuple | None:
+    size = named[b"content-length"]
     if not size.isdigit():
         return None
     end = body + int(size)
@@ -110,7 +117,7 @@ def _record(data: bytes, at: int, body: int) -> tuple | None:
         if kind == "response":
             agrees = payload in (None, end - http - 4) and digest in ("", hashlib.sha1(memoryview(data)[http + 4 : end]).hexdigest())
             payload = end - http - 4
-    return at, end + 4, number(b"warc-record-id"), kind, number(b"warc-refers-to"), digest, payload, agrees
+    return end + 4, number(b"warc-record-id"), kind, number(b"warc-refers-to"), digest, payload, agrees
 
 
 def reachable(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:

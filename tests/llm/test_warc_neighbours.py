@@ -26,6 +26,22 @@ def test_round_trip(spark, tmp_path):
     assert got == sorted(want)
 
 
+def test_urls_of_any_length(spark, tmp_path):
+    urls = {1: "data:text/html," + "x" * 100_000, 2: "http://x/" + "WARC/1.1\r\n: " * 20_000, 3: None}
+    d = spark.createDataFrame([(k, u, f"text {k}" * 300) for k, u in urls.items()], "page_id long, url string, html string")
+    path = warc.write_warc(d.coalesce(1), str(tmp_path / "w"))
+    assert sorted(r.id for r in warc.read_warc(spark, path).collect()) == [1, 2, 3]
+
+
+def test_many_headers_with_one_end():
+    line, tail = b"X: WARC/1.1\r\n", b"Content-Length: 3\r\nWARC-Record-ID: <urn:quern:5>\r\n\r\nabc\r\n\r\n"
+    data = b"WARC/1.1\r\nContent-Length: 9\r\n" + line * 50_000 + tail + b"WARC/1.1\r\n\r\n" + line * 50_000
+    found = warc.candidates(data)
+    end = len(line) * 50_000 + len(b"WARC/1.1\r\nContent-Length: 9\r\n" + tail)
+    assert len(found) == 50_001 and {x[1:3] for x in found} == {(end, 5)} and found[0][0] == 0
+    assert warc.candidates(line + b"Content-Length: 9\r\nWARC/1.1\r\nX: y\r\n\r\n")[0][0] == 3 and len(warc.candidates(line + b"Content-Length: 9\r\nWARC/1.1\r\nX: y\r\n\r\n")) == 1
+
+
 def test_empty_table(spark, tmp_path):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_warc(spark, warc.write_warc(d, str(tmp_path / "w"))).count() == 0
