@@ -1,19 +1,21 @@
 """License scans by diagonal voting.
 
-All rolling hashes of ``gram`` consecutive words of a text are joined with the positions of the same
-hashes in license templates. A match at text word ``i`` and template word ``j`` votes for the diagonal
-``i - j``, which fixes one place in the text; votes are aggregated by row, template and diagonal into
-the set of template words that they cover, neighbouring diagonals (words inserted or deleted) are
-merged into one span, and a span is verified if it covers at least ``min_cover`` of its template. It
-then gives the template's label and, as score, the coverage.
+All rolling hashes of a text's words are looked up among those of license templates. A match at text
+word ``i`` and template word ``j`` votes for the diagonal ``i - j``, which fixes one place in the text;
+neighbouring diagonals (words inserted or deleted) are merged into one region. A template's grams have
+up to ``gram`` words, fewer if it is so short that the errors allowed could leave none whole; so a region
+with fewer votes than those errors leave cannot hold the template. Others are verified: the template is
+aligned with the region's words at the least number of words inserted, lost or changed, and covers
+``1 - errors / words``. It is a span from ``min_cover`` on, if none of the words that name licenses
+(``NAMING``) is inserted, lost or changed. Of overlapping spans the best covered, then longest, stays;
+it gives the template's label and, as score, the coverage.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased. Besides the templates,
 base phrases are found exactly: every place where a phrase's words stand one after another. A base
 phrase counts as covered in full.
 
-Plan: one pass in Python finds words, base places and rolling hashes (numpy); the hashes are exploded
-in the JVM and meet the templates' by a broadcast join, whose size is fixed by the templates (at most
-64 words each). Texts and hashes are not shuffled, only votes and a short record for each row.
+Plan: one pass in Python over texts in place: words, base places, rolling hashes and their look-up
+(numpy); only texts with enough votes are aligned. Nothing is shuffled. A template has at most 64 words.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows count as
 rows; an empty table gives no rows; columns other than the two named are not read.
@@ -22,6 +24,7 @@ rows; an empty table gives no rows; columns other than the two named are not rea
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm._common import arrow_type, binaries, map_slices, read
+from quern.llm._common import binaries, map_slices, read
 from quern.llm._words import gram_hashes, words_of
 
 GRAM = 4
@@ -47,64 +50,117 @@ TEMPLATES = [
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("agpl", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("cc-by", "Licensed under CC BY 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    *((f"cc-{short.lower()}", text) for short, long in (("BY-NC", "NonCommercial"), ("BY-SA", "ShareAlike"), ("BY-ND", "NoDerivatives"), ("BY-NC-SA", "NonCommercial-ShareAlike"), ("BY-NC-ND", "NonCommercial-NoDerivatives")) for text in (f"Licensed under CC {short} 4.0.", f"This work is licensed under a Creative Commons Attribution-{long} 4.0 International License.")),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
 
-def template_grams(templates: list[tuple[str, str]], gram: int) -> list[tuple[int, int, int]]:
-    """(hash, template, position) of each rolling gram of the templates."""
-    lines = [b" ".join(words_of(t.encode())) for _, t in templates]
-    sizes = [x.count(b" ") + 1 for x in lines]
-    if bad := [t for (_, t), n in zip(templates, sizes, strict=True) if not gram <= n <= 64]:
-        raise ValueError(f"a template must have {gram} to 64 words: {bad[0][:60]}")
-    hashes, counts = gram_hashes(lines, gram)
-    at = np.repeat(np.arange(len(lines)), counts)
-    place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return list(zip(hashes.view(np.int64).tolist(), at.tolist(), place.tolist(), strict=True))
-
-
-def spans_of(votes: list[tuple[int, int, int]], templates: list[tuple[str, int]], gram: int, drift: int, min_cover: float) -> list[tuple[str, int, int, float]]:
-    """Verified (label, first word, word after, coverage). ``votes``: (template, diagonal, bits of matched
-    template positions); ``templates``: (label, words)."""
-    regions: list[list[int]] = []
-    for k, d, bits in sorted(votes):
-        if regions and regions[-1][0] == k and d - regions[-1][2] <= drift:
-            regions[-1][2], regions[-1][3] = d, regions[-1][3] | bits
-        else:
-            regions.append([k, d, d, bits])
-    out = []
-    for k, low, high, bits in regions:
-        covered = 0
-        for i in range(gram):
-            covered |= bits << i
-        label, size = templates[k]
-        if (cover := covered.bit_count() / size) >= min_cover:
-            first, last = (covered & -covered).bit_length() - 1, covered.bit_length()
-            out.append((label, max(0, low + first), high + last, cover))
-    return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+#: Words that name licenses: a span has the same of them as its template.
+NAMING = frozenset(b"mit apache gnu general public lesser affero mozilla attribution sharealike noncommercial noderivatives noderivs derivs derivatives commercial share alike sa nc nd".split())
+
+
+class Templates:
+    """Templates with their rolling grams, in order of hashes."""
+
+    def __init__(self, templates: list[tuple[str, str]], gram: int, drift: int, min_cover: float):
+        self.labels, self.words = [x for x, _ in templates], [words_of(t.encode()) for _, t in templates]
+        if bad := [t for (_, t), w in zip(templates, self.words, strict=True) if not 1 <= len(w) <= 64]:
+            raise ValueError(f"a template must have 1 to 64 words: {bad[0][:60]}")
+        self.errors = [int((1 - min_cover) * len(w) + 1e-9) for w in self.words]
+        # an error destroys at most as many grams as a gram has words
+        left = lambda k, n: len(self.words[k]) - n + 1 - n * self.errors[k]
+        self.gram = [max([n for n in range(1, gram + 1) if left(k, n) > 0], default=1) for k in range(len(templates))]
+        self.least = [max(1, left(k, n)) for k, n in enumerate(self.gram)]
+        self.gap = [max(drift, e) for e in self.errors]
+        self.naming = [NAMING.intersection(w) for w in self.words]
+        self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        for k, (w, n) in enumerate(zip(self.words, self.gram, strict=True)):
+            for j, h in enumerate(gram_hashes([b" ".join(w)], n)[0].tolist()):
+                self.at[n][h].append((k, j))
+        self.hashes = {n: np.sort(np.fromiter(x, np.uint64)) for n, x in self.at.items()}
+        self.at = {n: dict(x) for n, x in self.at.items()}
+
+    def votes(self, lines: list[bytes]) -> dict[int, dict[tuple[int, int], int]]:
+        """Of each line that has any: the bits of matched template words by (template, diagonal)."""
+        out: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
+        for n, known in self.hashes.items():
+            hashes, counts = gram_hashes(lines, n)
+            hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+            starts = np.cumsum(counts) - counts
+            rows = np.searchsorted(np.cumsum(counts), hits, side="right")
+            for r, i, h in zip(rows.tolist(), (hits - starts[rows]).tolist(), hashes[hits].tolist(), strict=True):
+                own = out[r]
+                for k, j in self.at[n][h]:
+                    own[k, i - j] = own.get((k, i - j), 0) | 1 << j
+        return out
+
+    def spans(self, words: list[bytes], votes: dict[tuple[int, int], int]) -> list[tuple[str, int, int, float]]:
+        """Verified (label, first word, word after, coverage), none overlapping another."""
+        regions: list[list[int]] = []
+        for (k, d), bits in sorted(votes.items()):
+            if regions and regions[-1][0] == k and d - regions[-1][2] <= self.gap[k]:
+                regions[-1][2], regions[-1][3] = d, regions[-1][3] | bits
+            else:
+                regions.append([k, d, d, bits])
+        found = set()
+        for k, low, high, bits in regions:
+            if bits.bit_count() >= self.least[k]:
+                size, e = len(self.words[k]), self.errors[k]
+                if low == high and words[max(0, low) : low + size] == self.words[k]:
+                    found.add((0.0, -size, low, low + size, k))
+                    continue
+                first = max(0, low - e)
+                for start, stop, cost in align(self.words[k], words[first : high + size + e]):
+                    if cost <= e and NAMING.intersection(words[first + start : first + stop]) == self.naming[k]:
+                        found.add((cost / size, -size, first + start, first + stop, k))
+        out, taken = [], bytearray(len(words))
+        for loss, _, start, stop, k in sorted(found):
+            if not any(taken[start:stop]):
+                taken[start:stop] = b"\x01" * (stop - start)
+                out.append((self.labels[k], start, stop, 1 - loss))
+        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+
+
+def align(template: list[bytes], words: list[bytes]) -> list[tuple[int, int, int]]:
+    """(start, stop, words inserted, lost or changed) of the best place of the template that ends at each stop; of
+    equal ones the latest start."""
+    size, out = len(template), []
+    # (cost, -start) of the first j words of the template that end here
+    column = [(j, 0) for j in range(size + 1)]
+    for i, word in enumerate(words):
+        before, column = column, [(0, -i - 1)]
+        for j in range(size):
+            cost, start = before[j]
+            best = (cost + (template[j] != word), start)
+            for cost, start in (before[j + 1], column[j]):
+                if cost < best[0]:
+                    best = min(best, (cost + 1, start))
+            column.append(best)
+        cost, start = column[-1]
+        out.append((-start, i + 1, cost))
+    return out
 
 
 def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = BASE, templates: list[tuple[str, str]] = TEMPLATES, gram: int = GRAM, drift: int = DRIFT, min_cover: float = MIN_COVER) -> DataFrame:
     """Per row: the key, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score`` and
     ``spans`` (label, from_word, to_word, cover)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
+    docs = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text" if key != "text" else "text_"))
+    body = docs.columns[1]
     longs = ("n_words", "n_base", "first_word", "last_word")
-    record = [T.StructField("rid", T.LongType()), docs.schema["key"], *(T.StructField(n, T.LongType()) for n in longs), T.StructField("base_labels", T.StringType())]
-    own = [f.name for f in record]
-    passed = T.StructType([*record, T.StructField("hashes", T.ArrayType(T.LongType()))])
+    span = T.StructType([T.StructField("label", T.StringType()), T.StructField("from_word", T.LongType()), T.StructField("to_word", T.LongType()), T.StructField("cover", T.DoubleType())])
+    schema = T.StructType([docs.schema[key], *(T.StructField(n, T.LongType()) for n in longs), T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
+    known = Templates(templates, gram, drift, min_cover)
     needles = {b" " + p.encode() + b" ": label for p, label in phrases.items()}
 
     def each(batch: pa.RecordBatch) -> dict:
-        lines = [b" ".join(words_of(x)) for x in binaries(batch.column("text"))]
+        lines = [b" ".join(words_of(x)) for x in binaries(batch.column(body))]
         out: dict = {n: [] for n in (*longs, "base_labels")}
         for line in lines:
             padded, found = b" " + line + b" ", []
@@ -114,39 +170,15 @@ def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
             at = [x for x, _ in found]
             for n, v in zip(out, (line.count(b" ") + 1 if line else 0, len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))), strict=True):
                 out[n].append(v)
-        hashes, counts = gram_hashes(lines, gram)
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        return out | {"rid": batch.column("rid"), "key": batch.column("key"), "hashes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64)))}
-
-    rows = map_slices(docs, "text", passed, each)
-    # every row also brings one hash of no gram (null), so that rows without votes stay
-    seen = rows.select(*own, F.posexplode_outer("hashes").alias("i", "hash"))
-    grams = spark.createDataFrame(template_grams(templates, gram), "hash long, template int, j int")
-    matched = seen.join(F.broadcast(grams), "hash", "left").where("template IS NOT NULL OR i IS NULL OR i = 0")
-    votes = matched.groupBy(*own, "template", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"))
-    listed = votes.groupBy(*own).agg(F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "bits"))).alias("votes"))
-    return _verified(listed, key, phrases, templates, gram, drift, min_cover)
-
-
-def _verified(listed: DataFrame, key: str, phrases: dict[str, str], templates, gram: int, drift: int, min_cover: float) -> DataFrame:
-    kept = [f for f in listed.schema.fields if f.name not in ("rid", "key", "votes")]
-    span = T.StructType([T.StructField("label", T.StringType()), T.StructField("from_word", T.LongType()), T.StructField("to_word", T.LongType()), T.StructField("cover", T.DoubleType())])
-    own_key = T.StructField(key, listed.schema["key"].dataType)
-    schema = T.StructType([own_key, *kept, T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
-    sizes = [(label, len(words_of(t.encode()))) for label, t in templates]
-
-    def run(batches):
-        types = arrow_type(schema)
-        for batch in batches:
-            labels, scores, spans = [], [], []
-            for votes, base in zip(batch.column("votes").to_pylist(), batch.column("base_labels").to_pylist(), strict=True):
-                found = spans_of([(v["template"], v["diagonal"], v["bits"] & (1 << 64) - 1) for v in votes], sizes, gram, drift, min_cover)
-                labels.append(",".join(sorted({x[0] for x in found} | set(filter(None, base.split(","))))))
-                scores.append(max([x[3] for x in found] + [1.0] * bool(base), default=0.0))
-                spans.append([dict(zip(span.fieldNames(), x, strict=True)) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(batch.column(f.name) for f in kept), *(pa.array(v, types.field(n).type) for n, v in (("labels", labels), ("score", scores), ("spans", spans)))], schema=types)
-
-    return listed.mapInArrow(run, schema)
+        votes, labels, scores, spans = known.votes(lines), [], [], []
+        for r, (line, base) in enumerate(zip(lines, out["base_labels"], strict=True)):
+            found = known.spans(line.split(), votes[r]) if r in votes else []
+            labels.append(",".join(sorted({x[0] for x in found} | set(filter(None, base.split(","))))))
+            scores.append(max([x[3] for x in found] + [1.0] * bool(base), default=0.0))
+            spans.append([dict(zip(span.fieldNames(), x, strict=True)) for x in found])
+        return out | {key: batch.column(key), "labels": labels, "score": scores, "spans": spans}
+
+    return map_slices(docs, body, schema, each)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

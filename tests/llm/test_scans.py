@@ -100,6 +100,23 @@ def test_templates_by_diagonals(spark):
     assert 0.8 <= rows[1].score <= 1 and len(rows[2].spans) == 2 and rows[3].score == rows[4].score == 0
 
 
+def test_spans_are_verified_word_by_word(spark):
+    long = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    ws = next(t for label, t in licenses.TEMPLATES if label == "bsd").split()
+    texts = {
+        **{f"x y {long.format(a)} z": b for a, b in (("", "cc-by"), ("-ShareAlike", "cc-by-sa"), ("-NonCommercial", "cc-by-nc"), ("-NoDerivatives", "cc-by-nd"), ("-NonCommercial-ShareAlike", "cc-by-nc-sa"), ("-NonCommercial-NoDerivatives", "cc-by-nc-nd"), ("-NoDerivs", ""))},
+        **{f"Licensed under a CC {a} 4.0 license.": f"cc-{a.lower()}" for a in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+        "Released under the permissive MIT License.": "mit",
+        "Released under the BSD License.": "",
+        "This work is licensed under the GNU Free Documentation License, version 3.": "",
+        " ".join(x for w in ws for x in (w, "other")): "",
+        " ".join([*ws[:9], *["other"] * 4, *ws[9:]]): "bsd",
+    }
+    rows = licenses.scan_licenses(spark.createDataFrame(list(texts), "string").toDF("text").withColumn("doc_id", F.col("text"))).collect()
+    assert {r.doc_id: r.labels for r in rows} == texts
+    assert [round(r.score, 6) for r in rows if "other other" in r.doc_id] == [round(1 - 4 / 21, 6)]
+
+
 def test_repeated_and_null_keys(spark):
     rows = [(1, "mit license"), (1, "mit license"), (None, "mit license"), (2, " ".join(["Released under the MIT License."] * 3000))]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
