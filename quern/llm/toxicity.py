@@ -116,7 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     share = prior if prior is not None else known.agg(F.avg((F.col("label") > 0).cast("double"))).first()[0] or 0.0
     first = lambda df, n: df.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(n)
     # both samples have a fixed bound, so they are broadcast
-    toxic = first(known.where("label > 0"), positives)
+    # labels may name absent documents, which must not take places
+    toxic = first(known.where("label > 0").join(own.select("key"), "key", "left_semi"), positives)
     one = lambda keys: own.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     p = one(toxic).select(F.lit(True).alias("positive"), "text")
     u = one(first(own, unlabelled)).select(F.lit(False).alias("positive"), "text")

@@ -38,6 +38,17 @@ def test_toxicity_without_anything_to_learn(spark):
     assert toxicity.train(d.limit(0), labels.limit(0)).weights == {}
 
 
+def test_labels_of_absent_documents_take_no_places(spark):
+    docs = [(i, "vile awful words" if i % 4 == 0 else f"fine words {i % 7}") for i in range(200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    present = [(i, int(i % 4 == 0)) for i in range(200)]
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
+    args = {"prior": 0.25, "positives": 30, "unlabelled": 120}
+    a = toxicity.train(d, make(present), **args)
+    b = toxicity.train(d, make(present + [(i, 1) for i in range(1000, 9000)]), **args)
+    assert a.weights == b.weights and a.bias == b.bias and b.score(b"vile awful") > b.score(b"fine words")
+
+
 def test_risk_is_corrected_for_the_prior():
     r = np.random.default_rng(1)
     truth = r.random(4000) < 0.3
