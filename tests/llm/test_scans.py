@@ -87,7 +87,7 @@ def test_templates_by_diagonals(spark):
     bsd = next(t for label, t in licenses.TEMPLATES if label == "bsd")
     w = bsd.split()
     texts = {
-        0: filler + bsd + filler,
+        0: filler + bsd + " " + filler,
         1: filler + " ".join([*w[:9], "inserted", *w[9:]]),  # a neighbouring diagonal
         2: " ".join([*w[:9], *w[10:]]) + bsd.upper(),  # a word is lost; a second place
         3: filler,
