@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.functions.strict import SPACE, parse
-from quern.plans.typed import Typed
+from quern.plans.typed import Typed, constant
 from quern.types import BIGINT, DATE, INT, TEXT, TIME, TIMESTAMP, SqlType, TypeMismatch, as_type
 
 #: The parts of each family that ``extract`` knows.
@@ -96,7 +96,7 @@ def extract(part: str, x: Typed) -> Typed:
 
 def abs_(x: Typed) -> Typed:
     _numeric(x)
-    return Typed(F.abs(x.column).cast(x.type.spark), x.type, fallible=x.type.family == "integer")
+    return Typed(F.abs(x.column).cast(x.type.spark), x.type)
 
 
 def round_(x: Typed, places: int = 0) -> Typed:
@@ -183,7 +183,7 @@ def cast_strict(x: Typed, kind: SqlType | str, *, or_null: bool = False) -> Type
     if not or_null:
         wrong = F.raise_error(F.concat(F.lit(f"not a {kind}: '"), text, F.lit("'"))).cast(kind.spark)
         out = F.when(text.isNull() | out.isNotNull(), out).otherwise(wrong)
-    return Typed(out, kind, fallible=not or_null)
+    return Typed(out, kind)
 
 
 def coalesce(*values: Typed) -> Typed:
@@ -196,9 +196,11 @@ def coalesce(*values: Typed) -> Typed:
 
 def nullif(a: Typed, b: Typed) -> Typed:
     """NULL where both are equal, else the first; types that don't compare are refused."""
-    from quern.plans.lower import _compare
+    from quern.plans.lower import aligned
 
-    return Typed(F.when(_compare("=", a, b), F.lit(None)).otherwise(a.column), a.type)
+    (x, y), padded = aligned([a, b], "nullif", constant)
+    x, y = (F.rtrim(s.column) if padded and s.type is not None else s.column for s in (x, y))
+    return Typed(F.when(x == y, F.lit(None)).otherwise(a.column), a.type)
 
 
 # ---- the session's clock

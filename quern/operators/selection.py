@@ -8,12 +8,13 @@ driver. ``iterate`` and ``for_each`` hold one partition at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from quern.plans import ast
-from quern.plans.lower import lower
+from quern.plans.lower import FAILED, lower, lower_checked
 from quern.plans.sql import parse_predicate, predicate_of
 from quern.types import type_of
 
@@ -22,11 +23,13 @@ MATCHED, REJECTED, UNKNOWN = "MATCHED", "REJECTED", "UNKNOWN"
 
 def plan(df: DataFrame, where: ast.Predicate | str | Column) -> Column:
     """The predicate checked against ``df`` and lowered; text is a SELECT statement or a bare predicate."""
-    if isinstance(where, Column):
-        return where
+    return where if isinstance(where, Column) else lower(_parsed(where), df.schema)
+
+
+def _parsed(where: ast.Predicate | str) -> ast.Predicate:
     if isinstance(where, str):
-        where = predicate_of(where) if where.lstrip().upper().startswith("SELECT") else parse_predicate(where)
-    return lower(where, df.schema)
+        return predicate_of(where) if where.lstrip().upper().startswith("SELECT") else parse_predicate(where)
+    return where
 
 
 def evaluate(df: DataFrame, where: ast.Predicate | str | Column, name: str = "truth") -> DataFrame:
@@ -34,6 +37,12 @@ def evaluate(df: DataFrame, where: ast.Predicate | str | Column, name: str = "tr
     return df.withColumn(name, plan(df, where))
 
 
+def checked(df: DataFrame, where: ast.Predicate | str, name: str = "truth", error: str = "error") -> DataFrame:
+    """``df`` with the predicate's value and, where it fails on a row, the error's text: no row ends the query."""
+    truth, wrong = lower_checked(_parsed(where), df.schema)
+    return df.withColumns({name: truth, error: F.when(wrong, F.lit(FAILED))})
+
+
 def select(df: DataFrame, where: ast.Predicate | str | Column) -> DataFrame:
     """The rows for which the predicate is true."""
     return df.where(plan(df, where))
@@ -65,6 +74,21 @@ def iterate(df: DataFrame, where: ast.Predicate | str | Column) -> Iterator[Row]
     return select(df, where).toLocalIterator(prefetchPartitions=True)
 
 
+@dataclass(frozen=True)
+class Failed:
+    """A row on which the predicate fails."""
+
+    row: Row
+    reason: str
+
+
+def iterate_all(df: DataFrame, where: ast.Predicate | str) -> Iterator[Row | Failed]:
+    """The matching rows, and in their places those on which the predicate fails, as items; nothing ends the iteration."""
+    truth, wrong = lower_checked(_parsed(where), df.schema)
+    for r in df.select(F.struct("*").alias("row"), wrong.alias("wrong"), truth.alias("truth")).where("wrong OR truth").toLocalIterator(prefetchPartitions=True):
+        yield Failed(r["row"], FAILED) if r["wrong"] else r["row"]
+
+
 def for_each(df: DataFrame, where: ast.Predicate | str | Column, callback: Callable[[Row], None]) -> int:
     """Calls back with each matching row, on the driver, and returns how many there were; an error ends it."""
     n = 0

@@ -21,8 +21,6 @@ class Typed:
     type: SqlType | None
     constant: bool = False
     value: object = None
-    #: Whether some row can make it fail (a division by a column).
-    fallible: bool = False
 
     def alias(self, name: str) -> Column:
         kept = {} if self.type is None else {"metadata": {"sqlType": str(self.type)}}

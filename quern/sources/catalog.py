@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quern.operators.selection import select
 from quern.plans import ast
 from quern.sources.csv import CsvRows, read_csv
-from quern.sources.files import FolderSize, exists, folder_size, make_folder, read_text, write_text
+from quern.sources.files import FolderSize, exists, folder_size, folders, make_folder, read_text, write_text
 from quern.types import Column, Constraints, Schema, parse_type
 
 FILE = "catalog.json"
@@ -45,6 +45,8 @@ class Catalog:
         self.root = self.root.rstrip("/")
         if exists(self.spark, f"{self.root}/{FILE}"):
             self.load()
+        elif found := [x for x in folders(self.spark, self.root) if x[0] not in "_."]:
+            raise CatalogError(f"{self.root} holds folders ({', '.join(found[:3])}) but no {FILE}: it is not a place for a new catalog")
         else:
             make_folder(self.spark, self.root)
             self.save()

@@ -37,19 +37,30 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def rename_over(spark: SparkSession, path: str, to: str) -> None:
+    """Gives a file another's name, in its stead, in one step of the file system."""
+    _, p, jvm = _at(spark, path)
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(context.makeQualified(p), context.makeQualified(jvm.org.apache.hadoop.fs.Path(to)), how)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside the file and then takes its place, so that a reader sees the old text or the new."""
-    fs, p, jvm = _at(spark, path)
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.new")
-    stream = fs.create(beside, True)
+    """Writes beside the file and then takes its place: a reader, also after a crash, finds the old text or the new."""
+    fs, _, jvm = _at(spark, path)
+    stream = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}.new"), True)
     try:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(beside, p):
-        raise OSError(f"{path} can't be written")
+    rename_over(spark, f"{path}.new", path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder; there are none if it doesn't exist."""
+    fs, p, _ = _at(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
 
 
 @dataclass(frozen=True)
