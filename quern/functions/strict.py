@@ -8,11 +8,13 @@ a form is checked in the JVM, within generated code, before Spark's cast is trus
 from __future__ import annotations
 
 import math
+import operator
 import re
 from datetime import date, datetime, time
 from decimal import Decimal
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.types import INT_BOUNDS, SqlType, TypeMismatch, as_type
@@ -67,16 +69,35 @@ _QUOTES = {"decimal": "\"'", "char": "\"'", "varchar": "\"'", "date": "'", "time
 
 
 def _body(text: Column, kind: SqlType) -> Column:
-    if kind.family == "bit":
-        return _bare(F.regexp_replace(trim(text), r"^[Bb](?='[\s\S]*'$)", ""), "'")
-    return _bare(text, _QUOTES.get(kind.family, ""))
+    """The text trimmed and without quotes; most texts have neither at their ends, which is cheap to see."""
+    out = _bare(F.regexp_replace(trim(text), r"^[Bb](?='[\s\S]*'$)", "") if kind.family == "bit" else text, "'" if kind.family == "bit" else _QUOTES.get(kind.family, ""))
+    first, last = F.ascii(text), F.ascii(F.substring(text, -1, 1))
+    bare = [(c > 0x27) & (c < 0x7F) for c in (first, last)] + [~first.isin(ord("B"), ord("b"))] * (kind.family == "bit")
+    return F.when(reduce(operator.and_, bare), text).otherwise(out)
 
 
 def parse(text: Column, kind: SqlType | str) -> Column:
     """The text as a value of the type; null where it isn't one (or is null itself)."""
     kind = as_type(kind)
-    body = _body(text, kind)
-    fits = body.rlike(f"^(?:{form(kind)})\\z")
+    return _value(_body(text, kind), kind)
+
+
+def staged(df: DataFrame, texts: dict[str, tuple[Column, SqlType | str]]) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with the texts, trimmed and without quotes, as columns of their own, so that each is worked out once
+    however often it is looked at; and the values."""
+    made = {f"_text_{i}": text for i, (text, _) in enumerate(texts.values())}
+    bodies = {f"_body_{i}": _body(F.col(t), as_type(kind)) for i, (t, (_, kind)) in enumerate(zip(made, texts.values(), strict=True))}
+    return df.withColumns(made).withColumns(bodies), {name: _value(F.col(b), as_type(kind)) for b, (name, (_, kind)) in zip(bodies, texts.items(), strict=True)}
+
+
+def validated(df: DataFrame, texts: dict[str, tuple[Column, SqlType | str]]) -> DataFrame:
+    """``df`` with a column for each name: whether the text is a value of the type; null for null."""
+    rows, values = staged(df, texts)
+    return rows.select(*df.columns, *[F.when(F.col(f"_text_{i}").isNotNull(), v.isNotNull()).alias(name) for i, (name, v) in enumerate(values.items())])
+
+
+def _value(body: Column, kind: SqlType) -> Column:
+    """The value of a trimmed and unquoted text."""
     match kind.family:
         case "char":
             size = kind.args[0]
@@ -84,17 +105,16 @@ def parse(text: Column, kind: SqlType | str) -> Column:
         case "varchar":
             return F.when(F.octet_length(body) <= kind.args[0], body)
         case "bit":
-            return F.when(fits, body)
+            found = body
         case "boolean":
-            return F.when(fits, F.lower(body).isin(*_TRUE))
+            found = F.lower(body).isin(*_TRUE)
         case "decimal":
-            plain = F.concat(F.regexp_extract(body, "^[+-]?", 0), F.lit("0"), F.regexp_replace(body, "^[+-]", ""))
-            return F.when(fits, plain.try_cast(kind.spark))
+            found = F.concat(F.regexp_extract(body, "^[+-]?", 0), F.lit("0"), F.regexp_replace(body, "^[+-]", "")).try_cast(kind.spark)
         case "float":
-            nan = body.rlike(r"^[+-]?(?i:nan)\z")
-            return F.when(nan, F.lit(math.nan).cast(kind.spark)).when(fits, body.try_cast(kind.spark))
+            found = F.when(body.rlike(r"^[+-]?(?i:nan)\z"), F.lit(math.nan).cast(kind.spark)).otherwise(body.try_cast(kind.spark))
         case _:
-            return F.when(fits, body.try_cast(kind.spark))
+            found = body.try_cast(kind.spark)
+    return F.when(body.rlike(f"^(?:{form(kind)})\\z"), found)
 
 
 def validate(text: Column, kind: SqlType | str) -> Column:

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.timeType.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
+    # the JVM doesn't compile longer methods; Spark then splits the expressions into short ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

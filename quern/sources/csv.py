@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.strict import parse, trim
+from quern.functions.strict import staged, trim
 from quern.types import Schema
 
 #: A character that divides nothing in text files.
@@ -48,13 +48,17 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: Schema, *, null
         raise ValueError("the table has no columns")
     n = len(schema.columns)
     lines = _lines(spark, path).withColumn("_fields", F.split("line", ",", -1))
+    own = {c.name: _field(i, null_value) for i, c in enumerate(schema.columns)}
+    rows, values = staged(lines, {c.name: (own[c.name], c.type) for c in schema.columns})
     found = F.size("_fields")
+    fields = [v.alias(f"_value_{i}") for i, v in enumerate(values.values())]
+    checked = rows.select("line", "_fields", *[f"_text_{i}" for i in range(n)], *fields)
     wrong = [F.when(found != n, F.concat(F.lit(f"{n} fields are expected; there are "), found.cast("string")))]
-    values = []
     for i, c in enumerate(schema.columns):
-        own = _field(i, null_value)
-        value = parse(own, c.type)
-        values.append(value.alias(c.name, metadata=c.struct_field.metadata))
-        wrong.append(F.when((found == n) & own.isNotNull() & value.isNull(), F.concat(F.lit(f"{c.name}: not a {c.type}: '"), own, F.lit("'"))))
-    checked = lines.withColumn("reasons", F.array_compact(F.array(*wrong)))
-    return CsvRows(checked.where(F.size("reasons") == 0).select(*values), checked.where(F.size("reasons") > 0).select("line", "reasons"))
+        field, value = F.col(f"_text_{i}"), F.col(f"_value_{i}")
+        wrong.append(F.when((found == n) & field.isNotNull() & value.isNull(), F.concat(F.lit(f"{c.name}: not a {c.type}: '"), field, F.lit("'"))))
+    # a line comes out of a generator, under which Spark puts no filter, so that no field is read again for one
+    line = F.struct("line", F.array_compact(F.array(*wrong)).alias("reasons"), *[f"_value_{i}" for i in range(n)])
+    checked = checked.select(F.inline(F.array(line)))
+    rows = checked.where(F.size("reasons") == 0).select([F.col(f"_value_{i}").alias(c.name, metadata=c.struct_field.metadata) for i, c in enumerate(schema.columns)])
+    return CsvRows(rows, checked.where(F.size("reasons") > 0).select("line", "reasons"))

@@ -187,6 +187,37 @@ def test_deep_chains(spark):
     assert truths(df, chain) == [True, False, None]
 
 
+def test_rows_that_fail(spark):
+    df = frame(spark, [("x", "INT"), ("y", "INT")], [(0, 1), (2, 0), (None, 4), (5, None)])
+    found = selection.checked(df, "y <> 0 AND 10 / x > y OR x / y = 1").collect()
+    assert [r["truth"] for r in found] == [None, None, None, None]
+    assert [r["error"] is not None for r in found] == [True, True, False, False]
+    items = list(selection.iterate_all(df, "10 / x = 5"))
+    assert [i.row["x"] if isinstance(i, selection.Failed) else i["x"] for i in items] == [0, 2]
+    # what is decided before doesn't fail, and what fails before isn't decided
+    assert truths(df.where("x = 0"), "x <> 0 AND (1 / x = 1 OR 2 / x = 2)") == [False]
+    for where in ("1 / x = 1 AND x <> 0", "1 / x = 1 OR x = 0", "x / (10 / x) IS NULL", "10 / x IN (1, 2)", "NOT (x = 1 AND y = 1 OR 10 / x = 1)"):
+        with pytest.raises(PySparkException, match="division by zero"):
+            truths(df.where("x = 0"), where)
+    with pytest.raises(PySparkException, match="division by zero"):
+        df.select(lower_expr(col("y") / col("x"), df.schema).column).collect()
+    assert [r["truth"] for r in selection.checked(df, "x IS NULL OR x > 2").collect()] == [False, False, True, True]
+
+
+def test_long_chains_that_may_fail(spark):
+    df = numbers(spark, [3, 60])
+    chain, either = col("x").eq(3), col("x").eq(3)
+    for i in range(60):
+        chain = chain & ((lit(1000) / (col("x") - i - 10)) > -200)
+        either = either | (lit(1000) / (col("x") - i)).eq(1)
+    assert truths(df.where("x = 3"), chain) == [True] and truths(df, either)[0] is True
+    assert len(selection.plan(df, chain)._jc.toString()) < 40_000
+    nested = col("x").eq(3)
+    for i in range(10):
+        nested = (nested & (lit(7) / col("x")).eq(2)) | (lit(6) / col("x")).eq(i + 2)
+    assert truths(df.where("x = 3"), nested) == [True]
+
+
 def test_forms_of_selection(spark):
     df = frame(spark, [("v", "INT")], [(5,), (15,), (None,), (20,), (3,)])
     where = "SELECT anything FROM anywhere WHERE v > 10"

@@ -112,3 +112,26 @@ def test_streams_select_what_batches_do(spark, tmp_path):
     for_each_batch(table_stream(spark, path, df.schema), where, lambda batch, n: got.extend(r["v"] for r in batch.collect()), str(tmp_path / "state2"), available_now=True).awaitTermination()
     assert sorted(got) == expected
     assert sorted(r["v"] for r in selection.iterate(df, where)) == expected
+
+
+def test_a_save_that_is_cut_off(spark, tmp_path, monkeypatch):
+    """The file is replaced in one step: a crash before it leaves the old catalog, and none is made over its folders."""
+    from quern.sources import files
+
+    root = str(tmp_path / "c")
+    catalog = Catalog(spark, root)
+    catalog.create_database("one")
+
+    def crash(*_):
+        raise OSError("power cut")
+
+    monkeypatch.setattr(files, "rename_over", crash)
+    with pytest.raises(OSError, match="power cut"):
+        catalog.create_database("two")
+    monkeypatch.undo()
+    assert Catalog(spark, root).show_databases() == ["one"]
+    Catalog(spark, root).create_database("three")
+    assert Catalog(spark, root).show_databases() == ["one", "three"]
+    (tmp_path / "c" / "catalog.json").unlink()
+    with pytest.raises(CatalogError, match="not a place"):
+        Catalog(spark, root)
