@@ -47,6 +47,15 @@ class Sql:
     value: object = None
     #: Where the expression fails, and so is NULL; None if no row can make it.
     error: str | None = None
+    #: Whether it is a bare column.
+    column: bool = False
+    #: Columns whose NULL the text does not pass on.
+    columns: frozenset[str] = frozenset()
+
+    @property
+    def whole(self) -> str:
+        """The text that is NULL where it should be."""
+        return _call("when", _joined("and", [_call("isnotnull", c) for c in sorted(self.columns)]), self.text) if self.columns else self.text
 
 
 def lower(predicate: ast.Predicate, schema: T.StructType) -> Column:
@@ -70,7 +79,7 @@ def lower_checked(predicate: ast.Predicate, schema: T.StructType) -> tuple[Colum
 def lower_expr(expression: ast.Expr, schema: T.StructType) -> Typed:
     """The expression as a column; a row on which it fails ends the query."""
     x = _expr(expression, schema)
-    text = x.text if x.error is None else _call("when", x.error, _raised(_name(x.type)), x.text)
+    text = x.whole if x.error is None else _call("when", x.error, _raised(_name(x.type)), x.whole)
     return Typed(F.expr(text), x.type, x.constant, x.value)
 
 
@@ -135,7 +144,7 @@ def _expr(expression: ast.Expr, schema: T.StructType) -> Sql:
                 raise TypeMismatch(f"column {name!r} can't be told from another whose name differs in case only")
             if (kind := type_of(f)) is None:
                 raise TypeMismatch(f"column {name!r} has no SQL type: {f.dataType.simpleString()}")
-            return Sql(f"`{name.replace('`', '``')}`", kind)
+            return Sql(f"`{name.replace('`', '``')}`", kind, column=True)
         case ast.Literal(value):
             return constant(value)
         case ast.BitLiteral(bits):
@@ -165,16 +174,16 @@ def arithmetic(op: str, a: Sql, b: Sql) -> Sql:
         return constant(None, wider(a.type, b.type))
     kind, wrong = wider(a.type, b.type), [a.error, b.error]
     if kind.family == "decimal":
-        tried = _call(_TRIED[op], a.text, b.text)
-        return Sql(tried, kind, error=_any(*wrong, _joined("and", [_call("isnotnull", a.text), _call("isnotnull", b.text), _call("isnull", tried)])))
+        tried = _call(_TRIED[op], a.whole, b.whole)
+        return Sql(tried, kind, error=_any(*wrong, _joined("and", [_call("isnotnull", a.whole), _call("isnotnull", b.whole), _call("isnull", tried)])))
     if a.constant and b.constant:
         return constant(_folded(op, a.value, b.value, kind), kind) if kind.family == "integer" else constant(_FOLDS[op](float(a.value), float(b.value)))
     if op == "/" and not b.constant:
-        wrong.append(_call("and", _call("isnotnull", a.text), _call("=", b.text, "0")))
-        b = replace(b, text=_call("nullif", b.text, _cast("0", _name(b.type))))
+        wrong.append(_call("and", _call("isnotnull", a.whole), _call("=", b.whole, "0")))
+        b = replace(b, text=_call("nullif", b.whole, _cast("0", _name(b.type))))
     if kind.family == "integer":
-        return Sql(_saturating(op, a, b, kind), kind, error=_any(*wrong))
-    return Sql(_call(op, _cast(a.text, "double"), _cast(b.text, "double")), DOUBLE, error=_any(*wrong))
+        return replace(_saturating(op, a, b, kind), error=_any(*wrong))
+    return Sql(_call(op, _cast(a.whole, "double"), _cast(b.whole, "double")), DOUBLE, error=_any(*wrong))
 
 
 def _any(*wrong: str | None) -> str | None:
@@ -189,25 +198,24 @@ def _folded(op: str, a: int, b: int, kind: SqlType) -> int:
     return min(max(found, low), high)
 
 
-def _saturating(op: str, a: Sql, b: Sql, kind: SqlType) -> str:
+def _saturating(op: str, a: Sql, b: Sql, kind: SqlType) -> Sql:
     low, high = INT_BOUNDS[kind.name]
-    x, y = _cast(a.text, "bigint"), _cast(b.text, "bigint")
     within = b.constant and b.value != -1
     if kind.name != "BIGINT":
-        # the exact result of two of at most 32 bits fits 64
+        # the exact result of two of at most 32 bits fits 64; greatest and least pass over NULL, so that is seen to
+        # once for the whole expression: each operand stands here once, however deep they are nested
+        x, y = _cast(a.text, "bigint"), _cast(b.text, "bigint")
         if op == "/":
-            found = _call("div", x, y)
-            bounded = found if within else _call("least", found, f"{high}L")
+            found = _call("div", x, y) if within else _call("least", _call("div", x, y), f"{high}L")
         else:
-            found = _call(op, x, y)
-            bounded = _call("greatest", _call("least", found, f"{high}L"), f"{low}L")
-        # greatest and least pass over NULL
-        return _cast(bounded if bounded == found else _call("when", _call("isnotnull", found), bounded), _name(kind))
+            found = _call("greatest", _call("least", _call(op, x, y), f"{high}L"), f"{low}L")
+        return Sql(_cast(found, _name(kind)), kind, columns=a.columns | b.columns | {s.text for s in (a, b) if s.column})
+    x, y = _cast(a.whole, "bigint"), _cast(b.whole, "bigint")
     if op == "/":
         found = _call("div", x, y)
-        return found if within else _call("when", _call("and", _call("=", x, f"{low}L"), _call("=", y, "-1L")), f"{high}L", found)
+        return Sql(found if within else _call("when", _call("and", _call("=", x, f"{low}L"), _call("=", y, "-1L")), f"{high}L", found), kind)
     beyond = _call("=", _call(">", x, "0"), _call(">", y, "0")) if op == "*" else _call(">=", x, "0")
-    return _call("coalesce", _call(_TRIED[op], x, y), _call("when", _call("and", _call("isnotnull", x), _call("isnotnull", y)), _call("when", beyond, f"{high}L", f"{low}L")))
+    return Sql(_call("coalesce", _call(_TRIED[op], x, y), _call("when", _call("and", _call("isnotnull", x), _call("isnotnull", y)), _call("when", beyond, f"{high}L", f"{low}L"))), kind)
 
 
 # ---- comparison
@@ -237,7 +245,7 @@ def aligned(sides: list, what: str, make: Callable) -> tuple[list, bool]:
 
 def _sides(sides: list[Sql], what: str) -> list[str]:
     out, padded = aligned(sides, what, constant)
-    return [_call("rtrim", s.text) if padded and s.type is not None else s.text for s in out]
+    return [_call("rtrim", s.whole) if padded and s.type is not None else s.whole for s in out]
 
 
 def _like(x: Sql, pattern: str) -> str:
@@ -251,7 +259,7 @@ def _like(x: Sql, pattern: str) -> str:
 
 def _in(x: Sql, items: list[Sql]) -> str:
     if not items:
-        return _call("when", _call("isnotnull", x.text), "FALSE")
+        return _call("when", _call("isnotnull", x.whole), "FALSE")
     return _call("in", *_sides([x, *items], "IN"))
 
 
@@ -298,10 +306,10 @@ def _predicate(p: ast.Predicate, schema: T.StructType) -> tuple[str, str | None]
             return _call("not", x), e
         case ast.IsNull(operand):
             x = _expr(operand, schema)
-            return _call("isnull", x.text), x.error
+            return _call("isnull", x.whole), x.error
         case ast.IsNotNull(operand):
             x = _expr(operand, schema)
-            return _call("isnotnull", x.text), x.error
+            return _call("isnotnull", x.whole), x.error
         case ast.Between(operand, low, high):
             return _predicate(ast.And(ast.Compare(operand, ">=", low), ast.Compare(operand, "<=", high)), schema)
         case ast.In(operand, items):
