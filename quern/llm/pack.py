@@ -7,19 +7,23 @@ shorter. Pieces are packed by bounded-space online best-fit: a fixed number of o
 best, and when a new bin is needed beyond the bound, the fullest open bin closes.
 
 Plan: tokenise in place (no shuffle; the piece table is small beside the text and is checkpointed, so
-tokenising happens once) - deal pieces to packers at random, about ``pieces_per_packer`` each, so a
-packer's memory is bounded and a bin's worth of loss at its end is spread over many full bins - pack -
+tokenising happens once) - deal rows to packers at random, equal ones like any others, about
+``pieces_per_packer`` each, so a packer's memory is bounded and a bin's worth of loss at its end is spread over many full bins - pack -
 then pack once more what the packers' last open bins hold, until one packer takes all of it.
 
 Defined cases: null and empty texts are the single id 0; repeated rows are packed as rows; an empty
-table gives no rows; columns other than the two named are not read, so their names cannot clash.
+table gives no rows; of bins with equal room the latest opened or filled is taken; a text of any length is encoded
+whole, in one task, and gives pieces of bounded size; columns other than the two named are not read, so their names
+cannot clash.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +38,16 @@ LENGTH = 2048
 END = 0
 OPEN_BINS = 512
 PIECES_PER_PACKER = 1 << 16
-#: Distinct words whose ids a Python worker keeps; beyond it starts anew.
+#: Distinct words whose ids a Python worker keeps; beyond, those go that came up once.
 CACHED_WORDS = 1 << 18
+#: Characters of text whose words are looked up together.
+WORDS_BYTES = 1 << 19
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer that never joins words across white space.
 
-    Words repeat, so each distinct one is encoded once. A word of lower-case Latin-1 letters, with or
+    Words repeat, so each distinct one is encoded once; when too many are held, those that only one text had go. A word of lower-case Latin-1 letters, with or
     without ASCII punctuation behind them, is one or two pre-tokens that the normaliser leaves as they
     are, so the tokenizer's model takes them directly; any other word goes through the whole tokenizer.
     Texts that hold a special token, or characters on which ``str.split`` and the tokenizer differ, are
@@ -67,66 +73,123 @@ class WordTokenizer:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.ends = array("I"), array("q", [0])
+        self.uses = np.zeros(0, np.uint8)
+
+    def _thin(self) -> None:
+        """Keeps the words that several texts had since the last time, if they leave room; forgets the others."""
+        keep = np.flatnonzero(self.uses > 1)
+        if len(keep) > self.cached // 2:
+            keep = keep[:0]
+        words, ends, flat = list(self.known), np.frombuffer(self.ends, np.int64), np.frombuffer(self.flat, np.uint32)
+        kept = [flat[ends[k] : ends[k + 1]] for k in keep.tolist()]
+        names = [words[k] for k in keep.tolist()]
+        del ends, flat
+        self._forget()
+        self._add(names, np.concatenate(kept) if kept else [], [len(x) for x in kept])
 
-    def _add(self, word: str, ids: list[int]) -> None:
-        self.known[word] = len(self.known)
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
+    def _add(self, words: list[str], ids, counts: list[int]) -> None:
+        """Words that are not known, with their ids one after another and how many each has."""
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.flat.frombytes(np.asarray(ids, np.uint32).tobytes())
+        self.ends.frombytes((self.ends[-1] + np.cumsum(np.asarray(counts, np.int64))).tobytes())
+        if len(self.uses) < len(self.known):
+            self.uses = np.concatenate([self.uses, np.zeros(max(len(self.known) - len(self.uses), len(self.uses) // 2), np.uint8)])
 
-    def _part(self, part: str) -> list[int]:
-        """Ids of one pre-token."""
-        if (k := self.known.get(part)) is not None:
-            return self.flat[self.ends[k] : self.ends[k + 1]].tolist()
-        text = part if part.isascii() else part.encode().decode("latin-1").translate(self.as_bytes)
-        ids = [t.id for t in self.model.tokenize(text)]
-        self._add(part, ids)
-        return ids
+    def _ids(self, word: str) -> list[int]:
+        k = self.known[word]
+        return self.flat[self.ends[k] : self.ends[k + 1]].tolist()
 
     def _learn(self, words: list[str]) -> None:
-        rest = []
+        """Words that are not known; pre-tokens first, then those made of two, then the rest."""
+        parts, double, rest = [], [], []
         for word in words:
-            if word in self.known:
-                continue
-            if m := self.PLAIN.fullmatch(word):
-                ids = self._part(m[1])
+            if word.isascii() and word.isalpha() and word.islower():
+                parts.append(word)
+            elif m := self.PLAIN.fullmatch(word):
                 if m[2]:
-                    self._add(word, ids + self._part(m[2]))
+                    double.append((word, m[1], m[2]))
+                else:
+                    parts.append(word)
             else:
                 rest.append(word)
-        if rest:
-            for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-                self._add(word, found.ids)
+        found = dict.fromkeys(parts)
+        for _, *both in double:
+            found.update((x, None) for x in both if x not in self.known)
+        tokenize, ids, counts = self.model.tokenize, [], []
+        for part in found:
+            tokens = tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.as_bytes))
+            ids += [t.id for t in tokens]
+            counts.append(len(tokens))
+        self._add(list(found), ids, counts)
+        # a word like "..." may be a part of another as well, and is there then
+        lists = [self._ids(x) + self._ids(y) for _, x, y in double]
+        lists += [e.ids for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)] if rest else []
+        names = [w for w, _, _ in double] + rest
+        fresh = [(w, x) for w, x in zip(names, lists, strict=True) if w not in self.known]
+        self._add([w for w, _ in fresh], [i for _, x in fresh for i in x], [len(x) for _, x in fresh])
 
     def encode(self, raws: list[bytes | None]) -> list[np.ndarray]:
         """Ids of UTF-8 texts."""
-        out = []
+        # millions of small lists and no cycles: the collector would only walk them again and again
+        was_on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(raws)
+        finally:
+            if was_on:
+                gc.enable()
+
+    def _encode(self, raws: list[bytes | None]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = []
+        held: list[list[str]] = []
+        size = 0
+
+        def settle() -> None:
+            found = iter(self._by_word(held))
+            for i in range(settled, len(out)):
+                if out[i] is None:
+                    out[i] = next(found)
+
+        settled = 0
         for raw in raws:
             text = (raw or b"").translate(LOWER).decode("utf-8", "replace")
             if not text.isascii() and self.MARKED.search(text):
                 text = raw.decode("utf-8", "replace")
-            odd = any(c in text for c in self.special) or not self.ODD.isdisjoint(text)
-            out.append(self.whole((raw or b"").decode("utf-8", "replace")) if odd else self._by_word(text))
+            if any(c in text for c in self.special) or not self.ODD.isdisjoint(text):
+                out.append(self.whole((raw or b"").decode("utf-8", "replace")))
+            else:
+                out.append(None)
+                held.append(text.split())
+                size += len(text)
+            if size >= WORDS_BYTES:
+                settle()
+                held, size, settled = [], 0, len(out)
+        settle()
         return out
 
     def whole(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _by_word(self, text: str) -> np.ndarray:
-        words = text.split()
+    def _by_word(self, texts: list[list[str]]) -> list[np.ndarray]:
+        words = list(chain.from_iterable(texts))
         at = list(map(self.known.get, words))
-        if None in at:
-            new = list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None))
+        if missing := [i for i, k in enumerate(at) if k is None]:
+            new = list(dict.fromkeys([words[i] for i in missing]))
             if len(self.known) + 2 * len(new) > self.cached:
-                self._forget()
-                new = list(dict.fromkeys(words))
+                self._thin()
+                at, missing = [None] * len(words), range(len(words))
+                new = [w for w in dict.fromkeys(words) if w not in self.known]
             self._learn(new)
-            at = list(map(self.known.get, words))
+            known = self.known
+            for i in missing:
+                at[i] = known[words[i]]
         at, held = np.array(at, np.int64), np.frombuffer(self.ends, np.int64)
+        # in how many lots of texts a word was, up to 255 and round again
+        self.uses[at] += np.uint8(1)
         starts, lengths = held[at], held[at + 1] - held[at]
-        ends = np.cumsum(lengths)
-        if not len(ends):
-            return np.empty(0, np.uint32)
-        return np.frombuffer(self.flat, np.uint32)[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)]
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        ids = np.frombuffer(self.flat, np.uint32)[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], lengths)] if ends[-1] else np.empty(0, np.uint32)
+        return np.split(ids, ends[np.cumsum([len(x) for x in texts])[:-1]]) if texts else []
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -210,9 +273,12 @@ class BestFit:
 
 
 def _packed(pieces: DataFrame, packers: int, length: int, open_bins: int, level: int) -> DataFrame:
-    """Pieces with ``sequence_id``, ``offset`` and ``open`` (whether the bin was still open at its packer's end)."""
-    order = F.xxhash64(*[c for c in pieces.columns if c != "ids"])
-    dealt = pieces.repartition(packers, order).sortWithinPartitions(order, *[c for c in pieces.columns if c != "ids"])
+    """Pieces with ``sequence_id``, ``offset`` and ``open`` (whether the bin was still open at its packer's end).
+
+    The pieces are checkpointed, so a row's number is its own whenever it is read again, and wholly equal rows are
+    dealt to different packers."""
+    dealt = pieces.withColumn("_order", F.xxhash64(F.lit(level), F.monotonically_increasing_id()))
+    dealt = dealt.repartition(packers, "_order").sortWithinPartitions("_order").drop("_order")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
