@@ -3,20 +3,26 @@
 Shards fill the tree in order: ``racks * shards`` to a region, ``shards`` to a rack. A row draws, for
 each region, the first arrival of a Poisson process with the region's weight (``-ln(u) / weight``,
 ``u`` a hash of the row's key and the node); the least draw wins, and the row descends. Inside a node
-the arrival belongs to one child, chosen by a hash in proportion to the children's weights; any other
+the arrival belongs to one child, chosen by a hash in proportion to the children's full weights; any other
 child's first arrival comes after it by a fresh exponential draw of that child's weight, as such
-processes have no memory. So a node's draw is always the least of its children's draws, at every
-level, and a region that is only partly filled draws by the racks and shards that it has: adding a
-shard changes the draws of its own rack and region alone, and rows move into the new shard only.
-A row costs one draw per full region, and per rack and shard of the one partly filled region.
+processes have no memory. So a node's draw is always the least of its children's draws, at every level.
 
-All of it is column expressions, in the JVM. ``slot`` numbers a shard's rows without gaps: rows are
-cut into ``rows_per_bucket``-sized buckets by hash, counted with map-side aggregation, and numbered
-within buckets behind the sum of those before, so no task ever holds a whole shard.
+Weights. A region's weight may be any positive number: it stretches all arrivals of the region alike. A
+rack or shard has a weight of 0 to 1, the share of its full size: it keeps an arrival if a hash of the
+row and the node, its mark, is below the weight, and else waits for one of a thinner process. A shard
+that is not there yet has the weight 0. So whatever weight changes, the draws of other subtrees stay as
+they are: all rows that move come to be in the node's subtree if it rises, were in it if it falls, and one
+more shard takes rows into itself only. A row costs one draw per region in which all is full, and per rack and
+shard of the others.
+
+All of it is column expressions, in the JVM. ``slot`` numbers a shard's rows without gaps, in the order
+of (key, checksum, size): rows are cut by range over (shard, that order, a number of the row's own), so
+neither a large shard nor a row repeated very often is in one task, counted with map-side aggregation, and
+numbered within the cuts behind the sum of those before.
 
 Defined cases: a null text counts no bytes and has the checksum of the empty text; a null key is a
-key like any other; repeated rows follow one another; an empty table gives no rows; only the columns
-named are read, so others cannot clash.
+key like any other; repeated rows follow one another; a text of any length is only measured; an empty table
+gives no rows; only the columns named are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import functions as F
 from quern.llm._common import materialise, read
 
 RACKS, SHARDS = 2, 4
-ROWS_PER_BUCKET = 1 << 18
+ROWS_PER_CUT = 1 << 18
 
 
 def _u(key: Column, *node) -> Column:
@@ -53,42 +59,57 @@ def _child(key: Column, n: int, *node) -> Column:
     return F.floor(_u(key, "pick", *node) * n).cast("int")
 
 
-def shard_of(key: Column, n: int, *, racks: int = RACKS, shards: int = SHARDS) -> Column:
-    """The shard, 0 to n - 1, of a string key, among n shards."""
+def shard_of(key: Column, n: int, *, racks: int = RACKS, shards: int = SHARDS, weights: dict[tuple[int, ...], float] | None = None) -> Column:
+    """The shard, 0 to n - 1, of a string key, among n shards. ``weights`` of nodes by their places, each from 0 in
+    its parent: (region,), (region, rack) and (region, rack, shard); others have the weight 1."""
     if n < 1:
         raise ValueError("there must be a shard")
-    each = racks * shards
-    full, rest = divmod(n, each)
-    draws = []
-    for r in range(full):
-        rack = _child(key, racks, "g", r)
-        within = F.coalesce(*[F.when(rack == k, F.lit(r * each + k * shards) + _child(key, shards, "g", r, k)) for k in range(racks)])
-        draws.append((_exp(key, each, "g", r), within))
-    if rest:
-        region = (_exp(key, each, "g", full), _child(key, racks, "g", full))
-        for k in range(-(-rest // shards)):
-            draw = F.when(region[1] == k, region[0]).otherwise(region[0] + _exp(key, shards, "k", full, k))
-            pick, base = _child(key, shards, "g", full, k), full * each + k * shards
-            if rest >= (k + 1) * shards:
-                draws.append((draw, F.lit(base) + pick))
-            else:
-                draws += [(F.when(pick == s, draw).otherwise(draw + _exp(key, 1, "s", full, k, s)), F.lit(base + s)) for s in range(rest - k * shards)]
+    weights = weights or {}
+    if bad := [k for k, w in weights.items() if not (0 < w < float("inf") if len(k) == 1 else 0 <= w <= 1)]:
+        raise ValueError(f"a region's weight is positive, a rack's and a shard's 0 to 1: {bad[0]}")
+    each, draws = racks * shards, []
+    for r in range(-(-n // each)):
+        # of each rack, the weights of its shards
+        tree = [[(r * each + k * shards + s < n) * weights.get((r, k), 1.0) * weights.get((r, k, s), 1.0) for s in range(shards)] for k in range(racks)]
+        draws += _region(key, r, tree, weights.get((r,), 1.0))
+    if not draws:
+        raise ValueError("all shards have the weight 0")
     return _least(draws)[1].cast("int")
 
 
-def with_slots(rows: DataFrame, shard: str, order: list[str], *, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """``rows`` with ``slot``: gapless from 0 in each shard, in no meaningful but a repeatable order."""
-    n = rows.groupBy().count().first()[0]
-    buckets = max(1, n // rows_per_bucket)
-    salt = F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")
-    rows = rows.withColumn("_bucket", salt)
-    counts = rows.groupBy(shard, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(shard).alias("_shard"), F.col("_bucket").alias("_of"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(*order)))
-    return numbered.join(before, (F.col(shard) == F.col("_shard")) & (F.col("_bucket") == F.col("_of"))).withColumn("slot", (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_bucket", "_at", "_shard", "_of", "_before")
-
-
-def shard_rows(docs: DataFrame, n: int, *, key: str = "doc_id", text: str = "text", racks: int = RACKS, shards: int = SHARDS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def _region(key: Column, r: int, tree: list[list[float]], weight: float) -> list[tuple[Column, Column]]:
+    """Draws of the region's racks and shards, or the one of a region that is full."""
+    racks, shards = len(tree), len(tree[0])
+    first = r * racks * shards
+    top, rack = _exp(key, racks * shards * weight, "g", r), _child(key, racks, "g", r)
+    pick = [_child(key, shards, "g", r, k) for k in range(racks)]
+    if all(w == 1 for own in tree for w in own):
+        return [(top, F.coalesce(*[F.when(rack == k, F.lit(first + k * shards) + pick[k]) for k in range(racks)]))]
+    draws = []
+    for k, own in enumerate(tree):
+        draw, base = F.when(rack == k, top).otherwise(top + _exp(key, shards * weight, "k", r, k)), first + k * shards
+        if all(w == 1 for w in own):
+            draws.append((draw, F.lit(base) + pick[k]))
+            continue
+        for s, w in enumerate(own):
+            if w:
+                mine = (pick[k] == s) if w == 1 else (pick[k] == s) & (_u(key, "mark", r, k, s) < w)
+                draws.append((F.when(mine, draw).otherwise(draw + _exp(key, w * weight, "s", r, k, s)), F.lit(base + s)))
+    return draws
+
+
+def with_slots(rows: DataFrame, shard: str, order: list[str], *, rows_per_cut: int = ROWS_PER_CUT) -> DataFrame:
+    """``rows`` with ``slot``: gapless from 0 in each shard, by ``order``; wholly equal rows in any order."""
+    rows = materialise(rows.withColumn("_own", F.monotonically_increasing_id()))
+    cuts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // rows_per_cut)
+    rows = materialise(rows.repartitionByRange(cuts, shard, *order, "_own").withColumn("_cut", F.spark_partition_id()))
+    counts = rows.groupBy(shard, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col(shard).alias("_shard"), F.col("_cut").alias("_of"), F.coalesce(F.sum("_n").over(Window.partitionBy(shard).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_cut", shard).orderBy(*order, "_own")))
+    return numbered.join(before, (F.col(shard) == F.col("_shard")) & (F.col("_cut") == F.col("_of"))).withColumn("slot", (F.col("_before") + F.col("_at") - 1).cast("long")).drop("_cut", "_at", "_own", "_shard", "_of", "_before")
+
+
+def shard_rows(docs: DataFrame, n: int, *, key: str = "doc_id", text: str = "text", racks: int = RACKS, shards: int = SHARDS, weights: dict[tuple[int, ...], float] | None = None, rows_per_cut: int = ROWS_PER_CUT) -> DataFrame:
     """Per row: the key, ``size`` (UTF-8 bytes and 16), ``text_crc32``, ``law`` (``key``), ``shard`` among n, ``slot``, ``grown_shard`` among n + 1."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = F.coalesce(F.col(key).cast("string"), F.lit("null"))
@@ -97,11 +118,10 @@ def shard_rows(docs: DataFrame, n: int, *, key: str = "doc_id", text: str = "tex
         (F.octet_length(body) + 16).cast("long").alias("size"),
         F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(own, n, racks=racks, shards=shards).alias("shard"),
-        shard_of(own, n + 1, racks=racks, shards=shards).alias("grown_shard"),
+        shard_of(own, n, racks=racks, shards=shards, weights=weights).alias("shard"),
+        shard_of(own, n + 1, racks=racks, shards=shards, weights=weights).alias("grown_shard"),
     )
-    rows = materialise(rows)
-    return with_slots(rows, "shard", [key, "text_crc32", "size"], rows_per_bucket=rows_per_bucket)
+    return with_slots(rows, "shard", [key, "text_crc32", "size"], rows_per_cut=rows_per_cut)
 
 
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,14 +80,47 @@ def test_shards_hold_the_law(spark):
             assert moved == {n}
 
 
-@pytest.mark.parametrize("per_bucket", [50, 1 << 18])
-def test_slots_are_gapless(spark, per_bucket):
+@pytest.mark.parametrize("per_cut", [50, 1 << 18])
+def test_slots_are_gapless(spark, per_cut):
     rows = [(i % 400, "x" * (i % 7)) for i in range(1000)] + [(None, None), (5, None), (5, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash"))
-    got = shard.shard_rows(d, 40, rows_per_bucket=per_bucket).collect()
+    got = shard.shard_rows(d, 40, rows_per_cut=per_cut).collect()
     by = defaultdict(list)
     for r in got:
         by[r.shard].append(r.slot)
     assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in by.values())
     assert {(r.size, r.text_crc32) for r in got if r.doc_id is None} == {(16, 0)}
+    for r, n in zip(sorted(got, key=lambda r: (r.shard, r.slot)), sorted(got, key=lambda r: (r.shard, r.doc_id is not None, r.doc_id, r.text_crc32, r.size)), strict=True):
+        assert (r.doc_id, r.text_crc32) == (n.doc_id, n.text_crc32)
     assert shard.shard_rows(d.limit(0), 40).count() == 0
+
+
+def test_equal_rows_are_spread(spark):
+    same = spark.range(20000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = shard.shard_rows(same, 40, rows_per_cut=1000)
+    assert sorted(r.slot for r in got.select("slot").collect()) == list(range(20000))
+    p = spark.range(20000).selectExpr("7L AS doc_id", "0 AS piece", "0L AS start", "30L AS length", "1L AS ids_crc32")
+    sizes = pack._packed(pack.materialise(p), 8, 2048, 512, 0).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 3500
+    assert filled(pack.pack(p, pieces_per_packer=3000).collect()) <= 1.02 * 20000 / 68 + 2
+
+
+def test_weights_move_rows_only_in_their_subtree(spark):
+    keys = spark.range(20000).select(F.col("id").cast("string").alias("k"))
+    base = {(1,): 2.0, (2, 0): 0.5, (3, 1, 2): 0.25}
+    changes = {(1,): (2.0, 3.0), (0,): (1, 0.5), (2, 0): (0.5, 0.9), (4, 1): (1, 0.0), (3, 1, 2): (0.25, 1.0), (0, 0, 0): (1, 0.5), (2, 0, 1): (1, 0.0)}
+    of = lambda w, n=40: shard.shard_of(F.col("k"), n, weights=w)
+    rows = keys.select("k", of(base).alias("base"), of(base, 41).alias("grown"), *[of(base | {node: w}).alias(str(i)) for i, (node, (_, w)) in enumerate(changes.items())]).collect()
+    share = [2 if s // 8 == 1 else (0.5 if s // 4 == 4 else 0.25 if s == 3 * 8 + 6 else 1) for s in range(40)]
+    counts = np.bincount([r.base for r in rows], minlength=40)
+    expected = 20000 * np.array(share) / sum(share)
+    assert abs(counts - expected).max() < 6 * expected.max() ** 0.5
+    assert {r.grown for r in rows if r.grown != r.base} == {40}
+    for i, (node, (old, new)) in enumerate(changes.items()):
+        inside = lambda s: (s // 8, s // 4 % 2, s % 4)[: len(node)] == node  # noqa: B023, E731
+        moved = [(r.base, r[str(i)]) for r in rows if r.base != r[str(i)]]
+        assert moved
+        for a, b in moved:
+            assert inside(b) and not inside(a) if new > old else inside(a) and not inside(b)
+    with pytest.raises(ValueError, match="weight"):
+        of({(0, 1): 2.0})
