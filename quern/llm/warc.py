@@ -1,7 +1,7 @@
 """WARC archives: writing with deduplicated payloads, and reading by boundary-chain verification.
 
 Writing. Each row becomes one uncompressed WARC/1.1 record whose block is an HTTP response with the
-html in UTF-8 as payload. Of rows with equal payloads of at least ``min_bytes``, the one with the
+html in UTF-8 as payload, in archives of at most ``archive_bytes`` of payload or one record. Of rows with equal payloads of at least ``min_bytes``, the one with the
 largest key is a response and the others are revisits that refer to it and carry the HTTP header
 only. All of it is column expressions and Spark's text writer with CR LF as line separator, so the
 payloads are not shuffled: digests find the repeated payloads by map-side aggregation.
@@ -14,7 +14,8 @@ does not end at the file's end is an error, as is a payload that contradicts its
 
 Defined cases: a null html is an empty payload; a null key is written as such and counts as smaller
 than any; rows that repeat the largest key of a group are all responses; an empty table gives
-archives without records; only the named columns are read.
+archives without records; a header has any length; a payload or address of up to 2 GiB, Spark's bound for a
+cell, is kept whole; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ from pyspark.sql import types as T
 from quern.llm._common import arrow_type, read, shared_dir
 
 MIN_BYTES = 1000
-RECORDS_PER_ARCHIVE = 2048
+#: Bytes of payload that an archive has at most, unless it is one record; archives are read a file to a task.
+ARCHIVE_BYTES = 64 << 20
+#: Records of payloads up to so many bytes share archives; an archive has the fewer, the larger its class.
+CLASSES = (1 << 15, 1 << 19, 1 << 23)
 #: Repeated payloads whose table (about 80 bytes each) is broadcast; above, the tables are joined by a shuffle.
 BROADCAST_GROUPS = 1 << 17
 MAGIC = re.compile(rb"WARC/1\.\d+\r\n")
@@ -44,7 +48,7 @@ def _urn(key: Column) -> Column:
 
 
 def records(pages: DataFrame, *, key: str, html: str, url: str | None, min_bytes: int) -> DataFrame:
-    """One column ``value``: a record but for its last CR LF."""
+    """``value``, a record but for its last CR LF, and ``bytes``, the size of its row's payload or address."""
     body = F.coalesce(F.col(html).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("id"), body.alias("body"), (F.col(url).cast("string") if url else F.lit(None).cast("string")).alias("url"))
     rows = rows.withColumn("bytes", F.octet_length("body").cast("long")).withColumn("digest", F.sha1(F.col("body").cast("binary")))
@@ -69,12 +73,22 @@ def records(pages: DataFrame, *, key: str, html: str, url: str | None, min_bytes
         F.lit("Content-Type: application/http;msgtype=response\r\n"),
         line("Content-Length", F.octet_length(block).cast("string")),
     )
-    return rows.select(F.concat(head, F.lit("\r\n"), block, F.lit("\r\n")).alias("value"))
-
-
-def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", html: str = "html", url: str | None = "url", min_bytes: int = MIN_BYTES, records_per_archive: int = RECORDS_PER_ARCHIVE) -> str:
-    """Writes archives into the folder ``path``, each of at most so many records."""
-    records(pages, key=key, html=html, url=url, min_bytes=min_bytes).write.option("lineSep", "\r\n").option("maxRecordsPerFile", records_per_archive).text(path)
+    return rows.select(F.concat(head, F.lit("\r\n"), block, F.lit("\r\n")).alias("value"), F.greatest("bytes", F.coalesce(F.octet_length("url"), F.lit(0)).cast("long")).alias("bytes"))
+
+
+def write_warc(pages: DataFrame, path: str, *, key: str = "page_id", html: str = "html", url: str | None = "url", min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> str:
+    """Writes archives into the folder ``path``: a pass over the rows for each class of sizes that has any."""
+    size = F.greatest(F.coalesce(F.octet_length(F.col(html).cast("string")), F.lit(0)), F.coalesce(F.octet_length(F.col(url).cast("string")), F.lit(0)) if url else F.lit(0))
+    bounds = [0, *CLASSES, 1 << 31]
+    seen = pages.select(size.alias("n")).agg(*[F.count_if((F.col("n") > low) & (F.col("n") <= high)).alias(str(high)) for low, high in zip(bounds, bounds[1:], strict=False)]).first()
+    # empty payloads are of the first class, which is written in any case
+    all_records = records(pages, key=key, html=html, url=url, min_bytes=min_bytes)
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        if low and not seen[str(high)]:
+            continue
+        own = all_records.where((F.col("bytes") <= high) & (F.col("bytes") > (low or -1))).select("value")
+        most = max(1, archive_bytes // high)
+        own.write.mode("append").option("lineSep", "\r\n").option("maxRecordsPerFile", most).text(path)
     return path
 
 

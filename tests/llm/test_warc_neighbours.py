@@ -16,7 +16,7 @@ def pages():
 
 def test_round_trip(spark, tmp_path):
     d = spark.createDataFrame(pages(), "page_id long, html string").withColumn("url", F.lit("http://x/ y\n"))
-    path = warc.write_warc(d.repartition(2), str(tmp_path / "w"), records_per_archive=4)
+    path = warc.write_warc(d.repartition(2), str(tmp_path / "w"), archive_bytes=1 << 17)
     got = sorted((str(r.id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_warc(spark, path).collect())
     want = []
     for k, html in pages():
