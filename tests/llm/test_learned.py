@@ -209,6 +209,6 @@ def test_conversations_across_partitions(spark):
         assert text.count(chat.OPEN) == text.count("<|im_end|>") and text.endswith(chat.CLOSE)
         states = [chat.role_of(x) for x in re.findall(r"<\|im_start\|>(\w+)", text)]
         assert legal(states)
-    texts = {x.conv_id: x.text for x in chat.rendered(got).collect()}
+    texts = {x.conv_id: x.text for x in chat.render(d).collect()}
     assert texts[99] == "".join(x.fragment for x in held if x.conv_id == 99)
     assert chat.repair(d.limit(0)).count() == 0
