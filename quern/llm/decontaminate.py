@@ -12,7 +12,8 @@ pass of the documents each, and the passes' hits are joined by a checkpoint in b
 
 Defined cases: null and empty texts have no words and are clean; null items have no windows; items
 with equal windows all count; repeated rows of either table are handled as rows; an empty benchmark
-leaves every document clean; other columns are carried along, except that columns named like the
+leaves every document clean; texts of any length are scanned whole; a null item_id counts as an item, last in
+order; other columns are carried along, except that columns named like the
 outputs are replaced.
 """
 
@@ -32,7 +33,8 @@ from pyspark.sql import types as T
 from quern.llm._common import binaries, map_slices, materialise, read
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Window text of a block; its automaton takes some 25 times as much in each Python worker.
+BLOCK_BYTES = 4 << 20
 #: On UTF-8: A-Z to a-z, word bytes as they are, all else to a space. Lengths, and so offsets, stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -47,11 +49,11 @@ def windows_of(text: bytes | None, window: int) -> set[bytes]:
     return {b" " + b" ".join(words[i : i + window]) + b" " for i in range(max(1, len(words) - window + 1))}
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[dict[bytes, list[int]]]:
+def blocks_of(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[dict[bytes, list[str | None]]]:
     """Windows with the items they come from, in blocks of bounded size; items arrive one partition at a time."""
-    block: dict[bytes, list[int]] = {}
+    block: dict[bytes, list[str | None]] = {}
     held = 0
-    for row in benchmark.select(F.col(item).cast("long"), F.col(text).cast("string")).toLocalIterator():
+    for row in benchmark.select(F.col(item).cast("string"), F.col(text).cast("string")).toLocalIterator():
         for w in windows_of(None if row[1] is None else row[1].encode(), window):
             block.setdefault(w, []).append(row[0])
             held += len(w) + 40
@@ -96,12 +98,12 @@ def scan_text(automaton, raw: bytes) -> tuple[int, list[tuple[int, int]], set]:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with ``n_words``, ``hits`` (merged hit ranges: words ``from_word`` to ``to_word``, and the
-    bytes ``from_byte`` to ``to_byte`` of the original UTF-8 text) and ``item_ids`` (sorted, distinct)."""
+    bytes ``from_byte`` to ``to_byte`` of the original UTF-8 text) and ``item_ids`` (of any type, as strings; sorted, distinct)."""
     own = ["n_words", "hits", "item_ids"]
     docs = docs.select([c for c in docs.columns if c not in own])
     spark = docs.sparkSession
     hit = T.StructType([T.StructField(n, T.LongType()) for n in ("from_word", "to_word", "from_byte", "to_byte")])
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit)), T.StructField("item_ids", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(hit)), T.StructField("item_ids", T.ArrayType(T.StringType()))])
     first = True
     for block in blocks_of(benchmark, item, item_text, window, block_bytes):
         if not first:
@@ -152,7 +154,7 @@ def ids_sha256(items) -> str:
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
-    names = F.transform(F.filter("item_ids", lambda x: x.isNotNull()), lambda x: x.cast("string"))
+    names = F.filter("item_ids", lambda x: x.isNotNull())
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["to_word"] - h["from_word"])
     return found.select(
         "doc_id",
@@ -165,8 +167,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -174,14 +176,14 @@ b AS (
 bp AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 9], ' ') AS win, least(len(w), 10) AS n FROM bp),
 lens AS (SELECT DISTINCT n FROM bw),
-dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n),
-dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS win FROM dp),
-m AS (SELECT DISTINCT doc_id, p, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
-h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
-      FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+dp AS (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n),
+dw AS (SELECT row, n, p, array_to_string(w[p:p + n - 1], ' ') AS win FROM dp),
+m AS (SELECT DISTINCT row, p, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+h AS (SELECT row, count(DISTINCT q) AS n_hit FROM (SELECT row, unnest(range(p, p + n)) AS q FROM m) GROUP BY row),
+i AS (SELECT row, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+      FROM (SELECT DISTINCT row, item_id FROM m) GROUP BY row)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,
        coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+FROM d LEFT JOIN h ON d.row = h.row LEFT JOIN i ON d.row = i.row
 """

@@ -30,6 +30,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_shard": shard.OP3_SQL,
         "op4_neighbours": neighbours.OP4_SQL,
+        "op5_chat": chat.OP5_SQL,
         "op6_warc": warc.OP6_SQL,
+        "op7_neardup": dedup.OP7_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
     }

@@ -122,3 +122,9 @@ def test_repeated_and_null_keys(spark):
     got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_base) for r in got) == [("1", 1), ("1", 1), ("2", 3000), ("None", 1)]
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_item_ids_of_any_type(spark):
+    b = spark.createDataFrame([("gsm-10", "one two"), ("gsm-9", "three"), (None, "four")], "item_id string, text string")
+    d = spark.createDataFrame([(1, "Three, one two! four"), (2, "one three")], "doc_id long, text string")
+    assert {r.doc_id: r.item_ids for r in decontaminate.decontaminate(d, b).collect()} == {1: ["gsm-10", "gsm-9", None], 2: ["gsm-9"]}
