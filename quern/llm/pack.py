@@ -38,7 +38,7 @@ LENGTH = 2048
 END = 0
 OPEN_BINS = 512
 PIECES_PER_PACKER = 1 << 16
-#: Distinct words whose ids a Python worker keeps; beyond, those go that came up once.
+#: Distinct words whose ids a Python worker keeps (some 150 bytes each); beyond, those go that came up once.
 CACHED_WORDS = 1 << 18
 #: Characters of text whose words are looked up together.
 WORDS_BYTES = 1 << 19
@@ -192,16 +192,16 @@ class WordTokenizer:
         return np.split(ids, ends[np.cumsum([len(x) for x in texts])[:-1]]) if texts else []
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[tuple[str, int], WordTokenizer] = {}
 
 
-def tokenizer_of(path: str) -> WordTokenizer:
+def tokenizer_of(path: str, cached: int = CACHED_WORDS) -> WordTokenizer:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    if (path, cached) not in _tokenizers:
+        _tokenizers[path, cached] = WordTokenizer(path, cached)
+    return _tokenizers[path, cached]
 
 
 def default_tokenizer() -> str:
@@ -210,7 +210,7 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pieces_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, length: int = LENGTH, keep_ids: bool = True) -> DataFrame:
+def pieces_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, length: int = LENGTH, keep_ids: bool = True, cached_words: int = CACHED_WORDS) -> DataFrame:
     """One row per piece: ``key``, ``piece`` (from 0), ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids``."""
     path = tokenizer or default_tokenizer()
     docs = docs.select(F.col(key), F.col(text).cast("string").alias("text" if key != "text" else "text_"))
@@ -219,7 +219,7 @@ def pieces_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text", token
     schema = T.StructType([*fields, *([T.StructField("ids", T.ArrayType(T.LongType()))] if keep_ids else [])])
 
     def each(batch: pa.RecordBatch) -> dict:
-        found = tokenizer_of(path).encode(binaries(batch.column(text)))
+        found = tokenizer_of(path, cached_words).encode(binaries(batch.column(text)))
         out: dict[str, list] = {n: [] for n in ("row", "piece", "start", "length", "ids_crc32", "ids")}
         for i, ids in enumerate(found):
             ids = np.append(ids, np.uint32(END))
@@ -323,5 +323,5 @@ def pack(pieces: DataFrame, *, length: int = LENGTH, open_bins: int = OPEN_BINS,
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pack(pieces_of(read(spark, sf_dir, "documents"), keep_ids=False))
+    found = pack(pieces_of(read(spark, sf_dir, "documents"), keep_ids=False, cached_words=1 << 20))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
