@@ -1,8 +1,9 @@
 """License scans by diagonal voting.
 
-All rolling hashes of a text's words are looked up among those of license templates. A match at text
-word ``i`` and template word ``j`` votes for the diagonal ``i - j``, which fixes one place in the text;
-neighbouring diagonals (words inserted or deleted) are merged into one region. A template's grams have
+All rolling hashes of a text's words are joined with the positions of the same hashes in license
+templates. A match at text word ``i`` and template word ``j`` votes for the diagonal ``i - j``, which fixes
+one place in the text; votes are aggregated by row, template and diagonal into the set of template words
+that they hit, and neighbouring diagonals (words inserted or deleted) are merged into one region. A template's grams have
 up to ``gram`` words, fewer if it is so short that the errors allowed could leave none whole; so a region
 with fewer votes than those errors leave cannot hold the template. Others are verified: the template is
 aligned with the region's words at the least number of words inserted, lost or changed, and covers
@@ -14,8 +15,12 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-c
 base phrases are found exactly: every place where a phrase's words stand one after another. A base
 phrase counts as covered in full.
 
-Plan: one pass in Python over texts in place: words, base places, rolling hashes and their look-up
-(numpy); only texts with enough votes are aligned. Nothing is shuffled. A template has at most 64 words.
+Plan: one pass in Python over texts in place finds words, base places and rolling hashes (numpy); a text
+goes on in parts of at most ``PART`` words, so no row grows with its text. The hashes are exploded in the
+JVM and meet the templates' by a broadcast join, whose size is fixed by the templates (at most 64 words
+each). A vote carries the few words around its diagonal, which is all that verifying needs. Shuffled are
+votes and a short record for each row, combined before the shuffle; rows equal in key and text are one
+record with a count. Votes of one text meet in one row, some hundred bytes for each diagonal hit.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows count as
 rows; an empty table gives no rows; columns other than the two named are not read.
@@ -24,7 +29,8 @@ rows; an empty table gives no rows; columns other than the two named are not rea
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm._common import binaries, map_slices, read
+from quern.llm._common import arrow_type, binaries, map_slices, read
 from quern.llm._words import gram_hashes, words_of
 
 GRAM = 4
+#: Words of a text that go on in one row.
+PART = 65536
 #: Neighbouring diagonals at most so far apart are merged: words inserted or deleted in between.
 DRIFT = 3
 MIN_COVER = 0.8
@@ -80,54 +88,81 @@ class Templates:
         self.least = [max(1, left(k, n)) for k, n in enumerate(self.gram)]
         self.gap = [max(drift, e) for e in self.errors]
         self.naming = [NAMING.intersection(w) for w in self.words]
-        self.at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, (w, n) in enumerate(zip(self.words, self.gram, strict=True)):
-            for j, h in enumerate(gram_hashes([b" ".join(w)], n)[0].tolist()):
-                self.at[n][h].append((k, j))
-        self.hashes = {n: np.sort(np.fromiter(x, np.uint64)) for n, x in self.at.items()}
-        self.at = {n: dict(x) for n, x in self.at.items()}
-
-    def votes(self, lines: list[bytes]) -> dict[int, dict[tuple[int, int], int]]:
-        """Of each line that has any: the bits of matched template words by (template, diagonal)."""
-        out: dict[int, dict[tuple[int, int], int]] = defaultdict(dict)
-        for n, known in self.hashes.items():
-            hashes, counts = gram_hashes(lines, n)
-            hits = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
-            starts = np.cumsum(counts) - counts
-            rows = np.searchsorted(np.cumsum(counts), hits, side="right")
-            for r, i, h in zip(rows.tolist(), (hits - starts[rows]).tolist(), hashes[hits].tolist(), strict=True):
-                own = out[r]
-                for k, j in self.at[n][h]:
-                    own[k, i - j] = own.get((k, i - j), 0) | 1 << j
+        self.sizes = sorted(set(self.gram))
+        # words that a vote needs on either side of its place; also those up to the next diagonal of its region
+        self.margin = max((len(w) + e + g for w, e, g in zip(self.words, self.errors, self.gap, strict=True)), default=0)
+
+    def grams(self) -> list[tuple[int, int, int, int, int, int]]:
+        """(hash, template, place, words of the gram, words wanted before it, words wanted from it on)."""
+        out = []
+        for k, (w, n, e, g) in enumerate(zip(self.words, self.gram, self.errors, self.gap, strict=True)):
+            for j, h in enumerate(gram_hashes([b" ".join(w)], n)[0].view(np.int64).tolist()):
+                out.append((h, k, j, n, j + e, len(w) - j + e + g))
         return out
 
-    def spans(self, words: list[bytes], votes: dict[tuple[int, int], int]) -> list[tuple[str, int, int, float]]:
-        """Verified (label, first word, word after, coverage), none overlapping another."""
-        regions: list[list[int]] = []
-        for (k, d), bits in sorted(votes.items()):
+    def spans(self, votes: list[tuple[int, int, int, int, bytes]]) -> list[tuple[str, int, int, float]]:
+        """Verified (label, first word, word after, coverage), none overlapping another. A vote is (template,
+        diagonal, bits of matched template words, place of the first of the words around it, these words)."""
+        regions: list[list] = []
+        for k, d, bits, start, window in sorted(votes):
             if regions and regions[-1][0] == k and d - regions[-1][2] <= self.gap[k]:
-                regions[-1][2], regions[-1][3] = d, regions[-1][3] | bits
+                region = regions[-1]
+                region[2], region[3] = d, region[3] | bits
+                region[5] += window.split()[region[4] + len(region[5]) - start :]
             else:
-                regions.append([k, d, d, bits])
+                regions.append([k, d, d, bits, start, window.split()])
         found = set()
-        for k, low, high, bits in regions:
+        for k, low, high, bits, first, words in regions:
             if bits.bit_count() >= self.least[k]:
                 size, e = len(self.words[k]), self.errors[k]
-                if low == high and words[max(0, low) : low + size] == self.words[k]:
+                at = max(0, low) - first
+                if low == high and words[at : at + size] == self.words[k]:
                     found.add((0.0, -size, low, low + size, k))
                     continue
-                first = max(0, low - e)
-                for start, stop, cost in align(self.words[k], words[first : high + size + e]):
-                    if cost <= e and NAMING.intersection(words[first + start : first + stop]) == self.naming[k]:
+                for start, stop, cost in align(self.words[k], words[: high + size + e - first]):
+                    if cost <= e and NAMING.intersection(words[start:stop]) == self.naming[k]:
                         found.add((cost / size, -size, first + start, first + stop, k))
-        out, taken = [], bytearray(len(words))
+        out, taken = [], set()
         for loss, _, start, stop, k in sorted(found):
-            if not any(taken[start:stop]):
-                taken[start:stop] = b"\x01" * (stop - start)
+            if taken.isdisjoint(range(start, stop)):
+                taken.update(range(start, stop))
                 out.append((self.labels[k], start, stop, 1 - loss))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
+def parts_of(line: bytes, gram: int, margin: int, size: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Of each part of a text: the place of its first word, how many words before it are kept, the words whose
+    grams count, and these with ``margin`` words on either side."""
+    if line.count(b" ") < size:
+        yield 0, 0, line, line
+        return
+    words = line.split(b" ")
+    for start in range(0, len(words), size):
+        before, stop = min(start, margin), start + size + gram - 1
+        yield start - before, before, b" ".join(words[start:stop]), b" ".join(words[start - before : stop + margin])
+
+
+def word_starts(lines: list[bytes]) -> pa.Array:
+    """Where each word of each line starts, and one past the line's end."""
+    out = [np.concatenate([[0], np.flatnonzero(np.frombuffer(x, np.uint8) == 32) + 1, [len(x) + 1]]) for x in lines]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out).astype(np.int32)))
+
+
+def listed_hashes(lines: list[bytes], sizes: list[int], heads: np.ndarray) -> pa.Array:
+    """The hashes of each line's grams, size by size; where ``heads``, after one null."""
+    found = [gram_hashes(x, n) for x, n in ((lines, n) for n in sizes)]
+    total = heads + sum(c for _, c in found)
+    at = np.cumsum(total) - total + heads
+    ends = np.concatenate([[0], np.cumsum(total)]).astype(np.int32)
+    values, empty = np.zeros(int(total.sum()), np.int64), np.zeros(int(total.sum()), bool)
+    empty[ends[:-1][heads > 0]] = True
+    for hashes, counts in found:
+        values[np.arange(len(hashes)) + np.repeat(at - (np.cumsum(counts) - counts), counts)] = hashes.view(np.int64)
+        at = at + counts
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, mask=empty))
+
+
 def align(template: list[bytes], words: list[bytes]) -> list[tuple[int, int, int]]:
     """(start, stop, words inserted, lost or changed) of the best place of the template that ends at each stop; of
     equal ones the latest start."""
@@ -148,37 +183,72 @@ def align(template: list[bytes], words: list[bytes]) -> list[tuple[int, int, int
     return out
 
 
-def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = BASE, templates: list[tuple[str, str]] = TEMPLATES, gram: int = GRAM, drift: int = DRIFT, min_cover: float = MIN_COVER) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = BASE, templates: list[tuple[str, str]] = TEMPLATES, gram: int = GRAM, drift: int = DRIFT, min_cover: float = MIN_COVER, part_words: int = PART) -> DataFrame:
     """Per row: the key, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score`` and
     ``spans`` (label, from_word, to_word, cover)."""
-    docs = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text" if key != "text" else "text_"))
-    body = docs.columns[1]
+    spark, known = docs.sparkSession, Templates(templates, gram, drift, min_cover)
+    docs = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     longs = ("n_words", "n_base", "first_word", "last_word")
-    span = T.StructType([T.StructField("label", T.StringType()), T.StructField("from_word", T.LongType()), T.StructField("to_word", T.LongType()), T.StructField("cover", T.DoubleType())])
-    schema = T.StructType([docs.schema[key], *(T.StructField(n, T.LongType()) for n in longs), T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
-    known = Templates(templates, gram, drift, min_cover)
+    own = [docs.schema["key"], *(T.StructField(n, T.LongType()) for n in longs), T.StructField("base_labels", T.StringType()), T.StructField("digest", T.BinaryType())]
+    part = {"base": T.LongType(), "before": T.LongType(), "counted": T.LongType(), "line": T.BinaryType(), "starts": T.ArrayType(T.IntegerType()), "hashes": T.ArrayType(T.LongType())}
     needles = {b" " + p.encode() + b" ": label for p, label in phrases.items()}
+    sizes, widest, margin = known.sizes, max(known.sizes, default=1), known.margin
 
     def each(batch: pa.RecordBatch) -> dict:
-        lines = [b" ".join(words_of(x)) for x in binaries(batch.column(body))]
-        out: dict = {n: [] for n in (*longs, "base_labels")}
-        for line in lines:
+        lines = [b" ".join(words_of(x)) for x in binaries(batch.column("text"))]
+        of, parts, record = [], [], []
+        for r, line in enumerate(lines):
             padded, found = b" " + line + b" ", []
             for needle, label in needles.items():
                 if needle in padded:
                     found += [(padded.count(b" ", 0, m.start()), label) for m in re.finditer(b"(?=" + re.escape(needle) + b")", padded)]
             at = [x for x, _ in found]
-            for n, v in zip(out, (line.count(b" ") + 1 if line else 0, len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))), strict=True):
-                out[n].append(v)
-        votes, labels, scores, spans = known.votes(lines), [], [], []
-        for r, (line, base) in enumerate(zip(lines, out["base_labels"], strict=True)):
-            found = known.spans(line.split(), votes[r]) if r in votes else []
-            labels.append(",".join(sorted({x[0] for x in found} | set(filter(None, base.split(","))))))
-            scores.append(max([x[3] for x in found] + [1.0] * bool(base), default=0.0))
-            spans.append([dict(zip(span.fieldNames(), x, strict=True)) for x in found])
-        return out | {key: batch.column(key), "labels": labels, "score": scores, "spans": spans}
-
-    return map_slices(docs, body, schema, each)
+            record.append((line.count(b" ") + 1 if line else 0, len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found})), md5(line).digest()))
+            own_parts = list(parts_of(line, widest, margin, part_words))
+            parts += own_parts
+            of += [r] * len(own_parts)
+        heads = np.diff(np.array([-1, *of])).astype(np.int64)
+        counted = [x for _, _, x, _ in parts]
+        out = {f.name: [record[r][i] for r in of] for i, f in enumerate(own[1:])}
+        out |= {"key": batch.column("key").take(pa.array(of)), "base": [x[0] for x in parts], "before": [x[1] for x in parts]}
+        return out | {"counted": [x.count(b" ") + 1 for x in counted], "line": [x[3] for x in parts], "starts": word_starts([x[3] for x in parts]), "hashes": listed_hashes(counted, sizes, heads)}
+
+    rows = map_slices(docs, "text", T.StructType([*own, *(T.StructField(n, t) for n, t in part.items())]), each)
+    # each row's first hash is null: it brings the row itself, so that rows without votes stay
+    grams = spark.createDataFrame(known.grams(), "hash long, template int, j int, n int, ahead int, after int")
+    met = rows.select("*", F.posexplode("hashes").alias("pos", "hash")).join(F.broadcast(grams), "hash", "left").where("template IS NOT NULL OR hash IS NULL")
+    skipped = F.lit(0)
+    for n in sizes:
+        skipped += F.when(F.col("n") > n, F.greatest(F.col("counted") - n + 1, F.lit(0))).otherwise(0)
+    # the place among the part's words; the null takes the first place of a text's first part
+    place = F.col("before") + F.col("pos") - F.when(F.col("base") + F.col("before") == 0, 1).otherwise(0) - skipped
+    low, high = F.greatest(place - F.col("ahead"), F.lit(0)).cast("int"), F.least(place + F.col("after"), F.size("starts") - 1).cast("int")
+    ids = [f.name for f in own]
+    words = F.substring("line", F.col("starts")[low] + 1, F.col("starts")[high] - F.col("starts")[low] - 1)
+    seen = met.select(*ids, "hash", "template", "j", *(F.when(F.col("template").isNotNull(), x).alias(n) for x, n in ((F.col("base") + place - F.col("j"), "diagonal"), (F.col("base") + low, "start"), (words, "words"))))
+    votes = seen.groupBy(*ids, "template", "diagonal", "start", "words").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("bits"), F.count(F.when(F.col("hash").isNull(), 1)).alias("copies"))
+    vote = F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "bits", "start", "words"))
+    return _verified(votes.groupBy(*ids).agg(F.sum("copies").alias("copies"), F.collect_list(vote).alias("votes")).drop("digest"), key, known)
+
+
+def _verified(listed: DataFrame, key: str, known: Templates) -> DataFrame:
+    kept = [f for f in listed.schema.fields if f.name != "votes"]
+    span = T.StructType([T.StructField("label", T.StringType()), T.StructField("from_word", T.LongType()), T.StructField("to_word", T.LongType()), T.StructField("cover", T.DoubleType())])
+    schema = T.StructType([*kept, T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = arrow_type(schema)
+        for batch in batches:
+            labels, scores, spans = [], [], []
+            for votes, base in zip(batch.column("votes").to_pylist(), batch.column("base_labels").to_pylist(), strict=True):
+                found = known.spans([(v["template"], v["diagonal"], v["bits"] & (1 << 64) - 1, v["start"], v["words"]) for v in votes]) if votes else []
+                labels.append(",".join(sorted({x[0] for x in found} | set(filter(None, base.split(","))))))
+                scores.append(max([x[3] for x in found] + [1.0] * bool(base), default=0.0))
+                spans.append([dict(zip(span.fieldNames(), x, strict=True)) for x in found])
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(v, types.field(n).type) for n, v in (("labels", labels), ("score", scores), ("spans", spans)))], schema=types)
+
+    out = listed.mapInArrow(run, schema).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
+    return out.withColumnRenamed("key", key)
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,3 +128,13 @@ def test_item_ids_of_any_type(spark):
     b = spark.createDataFrame([("gsm-10", "one two"), ("gsm-9", "three"), (None, "four")], "item_id string, text string")
     d = spark.createDataFrame([(1, "Three, one two! four"), (2, "one three")], "doc_id long, text string")
     assert {r.doc_id: r.item_ids for r in decontaminate.decontaminate(d, b).collect()} == {1: ["gsm-10", "gsm-9", None], 2: ["gsm-9"]}
+
+
+def test_license_texts_in_parts(spark):
+    filler = "lorem ipsum under the free software " * 9
+    rows = [(i, filler[: 7 * i] + t + " " + filler[: 5 * i] + " ".join([*t.split()[:4], "x", *t.split()[4:]])) for i, (_, t) in enumerate(licenses.TEMPLATES)] + [(0, licenses.TEMPLATES[1][1])] * 3 + [(0, None), (None, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(repr, licenses.scan_licenses(d).collect()))
+    assert len(want) == len(rows) and sum("spans=[Row" in x for x in want) == len(rows) - 2
+    for words in (1, 7, 50):
+        assert sorted(map(repr, licenses.scan_licenses(d, part_words=words).collect())) == want
