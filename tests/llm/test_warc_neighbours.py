@@ -99,3 +99,17 @@ def test_error_bounds_hold():
     near = np.sqrt(((x[:, None, :5] - x[None, :, :5]) ** 2).sum(axis=2))
     got = np.sqrt((((q * s[:, None])[:, None, :5] - (q * s[:, None])[None, :, :5]) ** 2).sum(axis=2))
     assert (np.abs(near - got) <= e[:, None] + e[None, :] + 1e-9).all()
+
+
+def test_repeated_queries_are_one_another_s_nearest(spark):
+    x = [(100, [1.0, 0.0])] * 13 + [(100, [1.0, 0.5]), (7, [1.0, 0.0]), (200, [-0.0, 2.0]), (200, [0.0, 2.0]), (300, [5.0])]
+    d = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    for queries in (None, 1):
+        got = neighbours.nearest(d, F.col("vec_id") % 100 == 0, queries=queries).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "vec_id", "score"))).alias("near"))
+        near = {r.query_id: [tuple(x) for x in r.near] for r in got.collect()}
+        # thirteen equal rows: one nearest is 7, then nine of the others; the fourteenth has them at 0.5
+        ten = [(1, 7, 0.0)] + [(i, 100, 0.0) for i in range(2, 11)]
+        far = [(1, 7, 0.5)] + [(i, 100, 0.5) for i in range(2, 11)]
+        assert near[100] == sorted(ten * 13 + far)
+        assert [n for n in near[200] if n[0] == 1] == [(1, 200, 0.0)] * 2
+        assert 300 not in near
